@@ -32,6 +32,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
 
@@ -97,6 +103,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_tiff": op9_tiff,
