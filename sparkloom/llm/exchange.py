@@ -88,3 +88,33 @@ def buckets(spark: SparkSession) -> int:
 def exchanged(df: DataFrame, reduce: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Send packed rows to their bucket's task; `reduce` sees them sorted by bucket."""
     return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(reduce, schema)
+
+
+def blocks(docs: DataFrame, key: str, n: int) -> DataFrame:
+    """PACKED rows of compressed runs of `docs` by block, to be sent to their block's task. A row's block
+    depends on `key` alone, so the same rows meet again in every pass; blocks are as many as tasks."""
+    spark = docs.sparkSession
+    keys = np.array(one_key_a_partition(spark, n), np.int32)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            where = batch.column(len(names)).to_numpy()
+            order = np.argsort(where, kind="stable")
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(where[order]) > 0, [True]))) if len(where) else [0]
+            rows = batch.select(names).take(pa.array(order))
+            out = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.slice(a, b - a).columns], schema=rows.schema))
+                out.append(sink.getvalue().to_pybytes())
+            there = [int(where[order[a]]) for a in cut[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[there] if there else [], pa.int32()), pa.array([1] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "origin", "payload"])
+
+    return docs.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(run, PACKED)
+
+
+def unblocked(payload: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(payload)))

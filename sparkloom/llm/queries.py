@@ -101,12 +101,19 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ctw import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_tiff": op9_tiff,
+    "op10_ctw": op10_ctw,
 }
 
 CONTROL_SQL = r"([\[<])(\\*)(/?(?:INST|OUT|SYS|TURN|s))([\] >])"
