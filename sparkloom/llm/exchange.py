@@ -118,3 +118,42 @@ def blocks(docs: DataFrame, key: str, n: int) -> DataFrame:
 
 def unblocked(payload: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(payload)))
+
+
+#: Size of a membership filter: a constant, 1 MB.
+BLOOM_BITS = 23
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds the longs of column `id`; full for very many, and then of no
+    help, but never wrong."""
+
+    def spots(v: np.ndarray) -> np.ndarray:
+        h = T.mix(v.view(np.uint64))
+        return np.concatenate([(h >> np.uint64(k * 20)) & np.uint64((1 << BLOOM_BITS) - 1) for k in range(3)]).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            bits[spots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
+        b = np.packbits(bits)
+        if b.any():
+            yield packed(np.arange(len(b)) // (len(b) // 16), b.view(np.dtype([("b", "u1")])), 0)
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, _, payloads in by_bucket(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in payloads]).tobytes()], pa.binary())], names=["bucket", "payload"])
+
+    out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    step = len(out) // 16
+    for r in exchanged(ids.select(F.col("id").cast("long")).mapInArrow(run, PACKED), either, "bucket int, payload binary").collect():
+        out[r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(r.payload, np.uint8)
+    return out
+
+
+def maybe_in(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    h, out = T.mix(v.view(np.uint64)), np.ones(len(v), bool)
+    for k in range(3):
+        s = ((h >> np.uint64(k * 20)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+        out &= (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+    return out
