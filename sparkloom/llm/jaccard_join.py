@@ -5,8 +5,10 @@ global order, rare first: by the count of the n-gram's cell in a table of CELLS
 whole corpus, then by hash (any common order gives the right pairs; the counts only make prefixes
 selective, and the table is as large for any corpus). Two sets of similarity t and more share a token in
 their first n - ceil(t n) + 1; those tokens are exchanged in packed rows. A token's owners become
-candidates under the length and positional filters. Before sets are compared a suffix filter counts
-both sets by hash range: the differences bound the overlap from above.
+candidates under the length and positional filters. Suffix filters then bound the overlap from above by
+what lies behind the prefix: counts by hash range where sets are compared, and, for tokens with many
+owners, a bitmap of the parities of a set's hashes, about one bit for each n-gram. Bits that differ
+are at most as many as n-grams that differ.
 
 No token's owners are all paired. Tokens with few owners give their pairs; of the others each owner is
 first paired with one owner of a similar size. Per document the pair with the smallest partner is
@@ -98,7 +100,7 @@ def cells(docs: DataFrame, ngram: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, counts, ngram: int, percent: int, n_buckets: int) -> DataFrame:
-    """PACKED prefix tokens; bucket -1 holds (doc_id, n, digest) of every document instead."""
+    """PACKED prefix tokens; bucket -1 holds (doc_id, n, digest) and parities of every document instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, seen = np.minimum(counts.value, (1 << 20) - 1), set()
@@ -106,9 +108,11 @@ def tokens(docs: DataFrame, counts, ngram: int, percent: int, n_buckets: int) ->
             data, offs = T.column(batch.column(1))
             ids = batch.column(0).to_pylist()
             for a, b, d, o in T.chunks(data, offs):
-                out, meta = [], []
+                out, meta, full, half = [], [], [], []
                 for k, v in zip(ids[a:b], sets(d, o, ngram), strict=True):
                     digest = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+                    full.append(parities(v, parity_bits(len(v))))
+                    half.append(full[-1][: len(full[-1]) // 2] ^ full[-1][len(full[-1]) // 2 :])
                     meta.append(len(v).to_bytes(8, "big") + digest)
                     if k is None or not len(v) or digest in seen:
                         continue
@@ -118,12 +122,30 @@ def tokens(docs: DataFrame, counts, ngram: int, percent: int, n_buckets: int) ->
                     rows = np.empty(p, TOKEN)
                     rows["token"], rows["owner"], rows["n"], rows["pos"] = key[:p], k, len(v), np.arange(p)
                     out.append(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, -1, np.int32)), pa.array(ids[a:b], pa.int64()), pa.array(meta, pa.binary())], names=["bucket", "origin", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, -1, np.int32)), pa.array(ids[a:b], pa.int64()), pa.array(meta, pa.binary()), lists(full), lists(half)], names=["bucket", "origin", "payload", "full", "half"])
                 if out:
                     rows = np.concatenate(out)
-                    yield X.packed((T.mix(rows["token"]) % np.uint64(n_buckets)).astype(np.int64), rows, 0)
+                    got = X.packed((T.mix(rows["token"]) % np.uint64(n_buckets)).astype(np.int64), rows, 0)
+                    hole = pa.nulls(got.num_rows, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*got.columns, hole, hole], names=["bucket", "origin", "payload", "full", "half"])
 
-    return docs.mapInArrow(run, X.PACKED)
+    return docs.mapInArrow(run, X.PACKED + ", full array<long>, half array<long>")
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(rows).view(np.int64)))
+
+
+def parity_bits(n: int) -> int:
+    """A power of two, at least n; sizes of two similar sets differ by a factor of two at most."""
+    return max(256, 1 << max(0, n - 1).bit_length())
+
+
+def parities(v: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i: is the number of hashes that are i modulo `bits` odd?"""
+    odd = np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 CANDIDATES = "x long, y long, token long, n int, pos int"
@@ -226,7 +248,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
     counts = spark.sparkContext.broadcast(cells(docs, ngram))
     sent = X.written(tokens(docs, counts, ngram, percent, X.buckets(spark)), "prefixes")
     meta = sent.filter("bucket = -1").select(F.col("origin").alias("doc_id"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("n_shingles"), F.substring("payload", 9, 16).alias("digest"))
-    found = X.written(X.exchanged(sent.filter("bucket >= 0"), pair_up(percent), CANDIDATES), "candidates")
+    shape = sent.filter("bucket = -1").select(F.col("origin").alias("node"), "full", "half")
+    found = X.written(X.exchanged(sent.filter("bucket >= 0").select("bucket", "origin", "payload"), pair_up(percent), CANDIDATES), "candidates")
     pairs = found.filter("y is not null").select("x", "y").distinct()
     wide = found.filter("y is null").select(F.col("x").alias("node"), "token", "n", "pos")
 
@@ -239,21 +262,28 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
 
     rest = pairs.join(part.withColumnsRenamed({"node": "x", "component": "cx"}), "x", "left").join(part.withColumnsRenamed({"node": "y", "component": "cy"}), "y", "left")
     rest = rest.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y").join(nearest, ["x", "y"], "left_anti")
-    rest = rest.unionByName(across(wide, part, percent)).distinct()
+    rest = rest.unionByName(across(wide, part, shape, percent)).distinct()
     more = verify(X.written(rest, "pairs"), docs, ngram, percent)
     part = components(part.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more))
     out = meta.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def across(wide: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+def across(wide: DataFrame, part: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """Candidates of tokens with many owners that lie in different components."""
     rows = wide.join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("token")
     step = max(float(np.log(100 / percent)), 1e-3) * 1.001  # a little wide, for rounding
-    rows = X.written(rows.join(mixed, "token").withColumn("size_class", F.floor(F.log("n") / step)).select("token", "node", "n", "pos", "c", "size_class"), "wide")
-    a = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c")), F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
-    b = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c")), "size_class")
+    rows = rows.join(mixed, "token").withColumn("size_class", F.floor(F.log("n") / step)).select("token", "node", "n", "pos", "c", "size_class")
+    # a doc_id that stands for several sets has no one bitmap, and then none is held against it
+    sole = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    rows = X.written(rows.join(shape.groupBy("node").agg(sole("full"), sole("half")), "node"), "wide")
+    a = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c", "full")), F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
+    b = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c", "full", "half")), "size_class")
+    total = F.col("n_a") + F.col("n_b")
+    other = F.when(F.size("full_b") == F.size("full_a"), F.col("full_b")).when(F.size("half_b") == F.size("full_a"), F.col("half_b"))
+    apart = F.aggregate(F.zip_with("full_a", other, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     both = a.join(b, ["token", "size_class"]).filter("c_a <> c_b and n_a <= n_b and (n_a < n_b or node_a < node_b)").filter(100 * F.col("n_a") >= percent * F.col("n_b"))
-    both = both.filter((100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * (F.col("n_a") + F.col("n_b")))
+    both = both.filter((100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * total)
+    both = both.filter(F.coalesce(apart * (100 + percent) <= (100 - percent) * total, F.lit(True)))
     return both.select(F.least("node_a", "node_b").alias("x"), F.greatest("node_a", "node_b").alias("y"))
