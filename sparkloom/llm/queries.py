@@ -41,6 +41,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import quality_classifier as C
+
+    docs = table(spark, sf_dir, "documents")
+    out = C.score(docs, C.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("junk_posterior", "toxic_posterior", "score")), "kept")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard_join import jaccard_classes
 
@@ -125,6 +133,7 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
