@@ -55,6 +55,25 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+#: Target weights by domain: the languages of labelled good documents, and labelled bad ones.
+TARGETS = {"en": 0.52, "de": 0.16, "fr": 0.16, "es": 0.13, "rest": 0.03}
+
+
+def domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the documents that the table of labels covers."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    good = (F.col("q") == 1) & (F.col("t") == 0)
+    return docs.select("doc_id", "lang").join(labels, "doc_id").select("doc_id", F.when(good, F.col("lang")).otherwise("rest").alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents")
+    out, _ = mix(docs, domains(spark, sf_dir, docs), TARGETS)
+    return out.select("doc_id", "tokens", *(F.round(f"p{i}", 6).alias(f"p_{n}") for i, n in enumerate(sorted(TARGETS))), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.suffix_dedup import suffix_dedup
 
@@ -135,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
