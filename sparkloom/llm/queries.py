@@ -162,6 +162,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctw": op10_ctw,
 }
 
-CONTROL_SQL = r"([\[<])(\\*)(/?(?:INST|OUT|SYS|TURN|s))([\] >])"
-
-ORACLE_SQL: dict[str, str] = {}
+#: The same results in DuckDB's SQL.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '{CONTROL_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TURN}'),
+e AS (SELECT *, regexp_matches(text, ' \[/(INST|SYS|TURN)\]| </s>') OR regexp_matches(text, '[\[<]\\+/?(INST|OUT|SYS|TURN|s)[\] >]') AS conflict,
+len(regexp_extract_all(text, '[\[<]\\*/?(INST|OUT|SYS|TURN|s)[\] >]')) AS marks, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 WHEN 'system' THEN 13 ELSE 15 + length(role) END AS frame FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+cast(3 + sum(length(text) + frame + CASE WHEN conflict THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars, count_if(conflict) AS escaped_turns, true AS identical FROM e GROUP BY conv_id""",
+    "op4_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM l JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.a, r.m FROM r JOIN e ON r.doc_id = e.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.m), d.doc_id) AS component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id""",
+    "op6_suffix_dedup": """WITH p AS (SELECT doc_id, n, i, CASE WHEN i + 50 <= n THEN substr(hx, 2 * i + 1, 100) END AS s, substr(hx, 2 * i + 1, 2) AS b
+FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n, unnest(range(octet_length(encode(coalesce(text, ''))))) AS i FROM documents) t),
+f AS (SELECT s, min(doc_id) AS m FROM p WHERE s IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT p.doc_id, n, i, b, max(CASE WHEN m < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN f ON p.s = f.s),
+h AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM c),
+g AS (SELECT doc_id, cast(sum(gone) AS BIGINT) AS n_removed, count_if(gone = 1 AND before = 0) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM h GROUP BY 1)
+SELECT d.doc_id, octet_length(encode(coalesce(d.text, ''))) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+}
