@@ -44,8 +44,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_keys: dict[int, list[int]] = {}
+
+
 def one_key_a_partition(spark: SparkSession, n: int) -> list[int]:
     """Integers, the i-th of which a hash partitioning on n partitions sends to partition i."""
+    if n not in _keys:
+        _keys[n] = _one_key_a_partition(spark, n)
+    return _keys[n]
+
+
+def _one_key_a_partition(spark: SparkSession, n: int) -> list[int]:
     found: dict[int, int] = {}
     size = 16 * n
     while len(found) < n:
@@ -81,13 +90,18 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets of a packed exchange: several for each partition, so that they even out."""
-    return max(512, 8 * partitions(spark))
+    """Buckets of a packed exchange: the same number in each partition, 64 at least. A block sends one row
+    to each, so there are no more of them than it takes."""
+    n = partitions(spark)
+    return n * -(-64 // n)
 
 
 def exchanged(df: DataFrame, reduce: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Send packed rows to their bucket's task; `reduce` sees them sorted by bucket."""
-    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(reduce, schema)
+    spark = df.sparkSession
+    n = partitions(spark)
+    home = F.element_at(F.lit(one_key_a_partition(spark, n)), F.pmod("bucket", F.lit(n)) + 1)
+    return df.withColumn("__home", home).repartition(n, "__home").drop("__home").sortWithinPartitions("bucket", "origin").mapInArrow(reduce, schema)
 
 
 def blocks(docs: DataFrame, key: str, n: int) -> DataFrame:
