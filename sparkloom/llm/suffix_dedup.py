@@ -11,7 +11,8 @@ to the first, into the Burrows-Wheeler transform, finds the place of the grown s
 of the symbols seen so far, and brings the common prefixes of the new suffix and of its successor up to
 date by the least common prefix between two occurrences of the symbol. The transform, the common
 prefixes and the tags are read and rewritten sequentially in each round, in files beyond IN_MEMORY bytes.
-Intervals of common prefixes of 50 and more hold the equal strings, and their least document decides.
+Units of different anchors can't share a string, so collections are cut between anchors, and a distinct
+unit that is alone with its anchor needs no index. Intervals of common prefixes of 50 and more hold the equal strings, and their least document decides.
 
 Equal texts meet in one block, sent once by each task, and are indexed once: the copy with the least id
 stands for all. Units of an anchor with more than HOT distinct ones are split into their 50-byte strings,
@@ -40,6 +41,8 @@ LENGTH = 50
 ANCHOR = 26
 SPAN = LENGTH - ANCHOR + 1
 HOT = 20_000
+#: Units of one collection, about; those of one anchor are never parted.
+COLLECTION = 4096
 IN_MEMORY = 64 << 20
 NO_ID = np.iinfo(np.int64).max
 SEEN = np.dtype([("value", "<u4"), ("block", "<u2")])
@@ -105,8 +108,9 @@ def index(data: np.ndarray, offs: np.ndarray, depth: int = LENGTH) -> tuple[np.n
     """
     n = len(offs) - 1
     length = np.diff(offs)
-    symbol = data.astype(np.int16) + 1
-    files = Column(np.int16), Column(np.uint8), Column(np.int32)
+    kind = np.uint8 if data.max(initial=0) < 255 else np.int16
+    symbol = data.astype(kind) + kind(1)
+    files = Column(kind), Column(np.uint8), Column(np.int32)
     files[0].write(np.zeros(n))
     files[1].write(np.zeros(n))
     files[2].write(np.full(n, -1))
@@ -118,12 +122,12 @@ def index(data: np.ndarray, offs: np.ndarray, depth: int = LENGTH) -> tuple[np.n
         live, place = live[more], place[more]
         start = offs[live + 1] - j
         bwt[place] = symbol[start]
-        order = np.argsort(bwt.astype(np.uint8) if bwt.max(initial=0) < 256 else bwt, kind="stable")
+        order = np.argsort(bwt, kind="stable")
         ends = int((bwt == 0).sum())
         order = order[ends:]  # the r-th of these is followed, one symbol on, by new place n + r
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
-        new = rank[place]
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        new = rank[place].astype(np.int64)
         grown = len(order) + n
         fresh = np.zeros(grown, bool)
         fresh[new + n] = True
@@ -143,7 +147,7 @@ def index(data: np.ndarray, offs: np.ndarray, depth: int = LENGTH) -> tuple[np.n
             pairs = np.stack((a[by], b[by]), axis=1).ravel()
             least = np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[::2]
             out[r[same][by] + n] = np.minimum(least.astype(np.int64) + 1, 255)
-        wide = np.zeros(grown, np.int16)
+        wide = np.zeros(grown, kind)
         wide[old] = bwt
         files[0].write(wide)
         files[1].write(out)
@@ -202,7 +206,7 @@ class Block:
         self.parts.clear()
 
     def units(self, known: np.ndarray, hot: np.ndarray, n_buckets: int) -> None:
-        """Candidate units by content: start, strings, document, key, bucket."""
+        """Candidate units by content: start, strings, document, key, bucket, anchor."""
         found = []
         for a, _, d, o in T.chunks(self.data, self.offs):
             start, many, value = anchors(d, o)
@@ -218,11 +222,12 @@ class Block:
             bucket = np.where(single, key % np.uint64(n_buckets), ident >> np.uint64(32)).astype(np.int64)
             # a string of its own must not be taken for a unit of one string
             key = np.where(single, key ^ np.uint64(1 << 63), key)
-            found.append((start + self.offs[a], many, np.searchsorted(o, start, "right") - 1 + a, key, bucket))
-        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5)]
+            anchor = np.where(single, key, ident).astype(np.uint32)
+            found.append((start + self.offs[a], many, np.searchsorted(o, start, "right") - 1 + a, key, bucket, anchor))
+        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(6)]
         doc = self.least[cols[2].astype(np.int64)] if len(cols[2]) else np.zeros(0, np.int64)
         order = np.lexsort((doc, cols[3]))
-        self.start, self.many, self.row, self.key, self.bucket = (c[order] for c in cols)
+        self.start, self.many, self.row, self.key, self.bucket, self.anchor = (c[order] for c in cols)
         self.doc = doc[order]
         self.head = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(order) else np.zeros(0, np.int64)
 
@@ -244,7 +249,8 @@ def within(many: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
-UNIT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("many", "u1")])
+#: A unit's content, least document, number of strings, and what of its anchor the bucket doesn't tell.
+UNIT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("anchor", "<u4"), ("many", "u1")])
 REPLY = np.dtype([("key", "<u8"), ("mask", "<u4")])
 
 
@@ -345,7 +351,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         bucket, many = b.bucket[at], b.many[at]
         size = many + LENGTH - 1
         head = np.empty(len(at), UNIT)
-        head["key"], head["doc"], head["many"] = b.key[at], b.doc[at], many
+        head["key"], head["doc"], head["anchor"], head["many"] = b.key[at], b.doc[at], b.anchor[at], many
         raw = b.data[np.repeat(b.start[at], size) + within(size)]
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         byte = np.concatenate(([0], np.cumsum(size)))
@@ -367,14 +373,25 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             slot = np.empty(len(head), np.int64)
             slot[order] = np.cumsum(first) - 1
             rep = order[first]  # each distinct unit once, with its least document
-            size = np.diff(offs)[rep]
-            data = raw[np.repeat(offs[rep], size) + within(size)]
-            inner = np.concatenate(([0], np.cumsum(size)))
-            gone = repeated(data, inner, head["doc"][rep].astype(np.int64))
-            step = within(size)
             mask = np.zeros(len(rep), np.int64)
-            hit = np.flatnonzero(gone)
-            np.bitwise_or.at(mask, np.searchsorted(inner, hit, "right") - 1, 1 << step[hit])
+            # a unit that is alone with its anchor shares no string; the others go in collections
+            by = np.argsort(head["anchor"][rep], kind="stable")
+            own = head["anchor"][rep][by]
+            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+            by = by[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+            sizes = np.diff(edge)[np.diff(edge) > 1]
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(by):
+                end = int(ends[min(np.searchsorted(ends, at + COLLECTION), len(ends) - 1)])
+                part = by[at:end]
+                at = end
+                pick = rep[part]
+                size = np.diff(offs)[pick]
+                data = raw[np.repeat(offs[pick], size) + within(size)]
+                inner = np.concatenate(([0], np.cumsum(size)))
+                hit = np.flatnonzero(repeated(data, inner, head["doc"][pick].astype(np.int64)))
+                np.bitwise_or.at(mask, part[np.searchsorted(inner, hit, "right") - 1], 1 << within(size)[hit])
             full = (1 << head["many"].astype(np.int64)) - 1
             own = np.where(head["doc"] > head["doc"][rep][slot], full, mask[slot])
             reply = np.empty(len(head), REPLY)
