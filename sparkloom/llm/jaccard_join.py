@@ -11,9 +11,9 @@ owners, a bitmap of the parities of a set's hashes, about one bit for each n-gra
 are at most as many as n-grams that differ.
 
 No token's owners are all paired. Tokens with few owners give their pairs; of the others each owner is
-first paired with one owner of a similar size. Per document the pair with the smallest partner is
-verified, verified links give components, and only candidates that lie in different components
-are verified in a second round, for frequent tokens by a join on token and size class. So no link between
+first paired with the owner of a similar size that has the fewest rarer tokens, the middle of the group.
+Per document its pair with the fewest rarer tokens is verified, verified links give components, and only
+candidates that lie in different components are verified in a second round, for frequent tokens by a join on token and size class. So no link between
 different texts is lost that could change a component. A task sends a set that many documents have
 once. Sets of documents without a candidate never leave their task.
 
@@ -42,6 +42,8 @@ PERCENT = 90
 CELL_BITS = 18
 #: Owners up to which a token gives all its pairs at once.
 FEW = 24
+#: Width of a band of set sizes, as a logarithm.
+BAND = 0.05
 #: Sets compared with one other in one task.
 FAN = 256
 RANGES = 32
@@ -152,13 +154,18 @@ CANDIDATES = "x long, y long, token long, n int, pos int"
 
 
 def pair_up(percent: int):
-    """Reduce step over prefix tokens: pairs (x, y), and (x, token, n, pos) of tokens with many owners."""
+    """Reduce step over prefix tokens: pairs (x, y, pos: rarer tokens of both), and (x, token, n, pos) of
+    tokens with many owners."""
 
     def passes(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         nx, ny = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)  # nx <= ny by the sort
         room = 1 + np.minimum(nx - rows["pos"][i], ny - rows["pos"][j]) - 1
         return (rows["owner"][i] != rows["owner"][j]) & (nx >= need(ny, percent)) & (room >= overlap_needed(nx, ny, percent))
 
+    def joined(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ends = np.sort(np.stack((rows["owner"][i], rows["owner"][j])), axis=0)
+        return np.vstack((ends, rows["pos"][i].astype(np.int64) + rows["pos"][j]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, payloads in X.by_bucket(batches):
             rows = np.frombuffer(b"".join(payloads), TOKEN)
@@ -173,20 +180,27 @@ def pair_up(percent: int):
                 if not len(i):
                     break
                 i = i[passes(few, i, i + d)]
-                pairs.append(np.stack((few["owner"][i], few["owner"][i + d])))
+                pairs.append(joined(few, i, i + d))
             for a, b in zip(cut[:-1][size > FEW].tolist(), cut[1:][size > FEW].tolist(), strict=True):
                 g = rows[a:b]
-                n = g["n"].astype(np.int64)
-                lead = np.searchsorted(n, need(n, percent))  # the first owner that is long enough
-                at = np.arange(b - a)
-                for other in (lead, np.maximum(at - 1, 0)):
-                    ok = (other < at) & passes(g, other, at)
-                    pairs.append(np.stack((g["owner"][other[ok]], g["owner"][at[ok]])))
-            pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.shape[1] else pairs
+                # the owner with the fewest rarer tokens is nearest to what the group has in common
+                n, at = g["n"].astype(np.int64), np.arange(b - a)
+                band = np.floor(np.log(n) / BAND).astype(np.int64)
+                edge = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
+                middle = np.array([y + np.argmin(g["pos"][y:z]) for y, z in zip(edge[:-1], edge[1:], strict=True)])
+                own = np.searchsorted(edge, at, "right") - 1
+                for near in (-1, 0, 1):
+                    other = middle[np.clip(own + near, 0, len(middle) - 1)]
+                    i, j = np.minimum(other, at), np.maximum(other, at)
+                    ok = (i < j) & passes(g, i, j)
+                    pairs.append(joined(g, i[ok], j[ok]))
+            pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+            pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
+            if pairs.shape[1]:
+                pairs = pairs[:, np.concatenate(([True], (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)))]
             g, k = rows[many], pairs.shape[1]
             hole = lambda kind, size: pa.nulls(size, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs[0], g["owner"]))), pa.concat_arrays([pa.array(pairs[1]), hole(pa.int64(), len(g))]), pa.concat_arrays([hole(pa.int64(), k), pa.array(g["token"].view(np.int64))]), pa.concat_arrays([hole(pa.int32(), k), pa.array(g["n"].astype(np.int32))]), pa.concat_arrays([hole(pa.int32(), k), pa.array(g["pos"].astype(np.int32))])], names=["x", "y", "token", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs[0], g["owner"]))), pa.concat_arrays([pa.array(pairs[1]), hole(pa.int64(), len(g))]), pa.concat_arrays([hole(pa.int64(), k), pa.array(g["token"].view(np.int64))]), pa.concat_arrays([hole(pa.int32(), k), pa.array(g["n"].astype(np.int32))]), pa.concat_arrays([pa.array(pairs[2].astype(np.int32)), pa.array(g["pos"].astype(np.int32))])], names=["x", "y", "token", "n", "pos"])
 
     return run
 
@@ -250,11 +264,14 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
     meta = sent.filter("bucket = -1").select(F.col("origin").alias("doc_id"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("n_shingles"), F.substring("payload", 9, 16).alias("digest"))
     shape = sent.filter("bucket = -1").select(F.col("origin").alias("node"), "full", "half")
     found = X.written(X.exchanged(sent.filter("bucket >= 0").select("bucket", "origin", "payload"), pair_up(percent), CANDIDATES), "candidates")
-    pairs = found.filter("y is not null").select("x", "y").distinct()
+    pairs = found.filter("y is not null").groupBy("x", "y").agg(F.min("pos").alias("rarer"))
     wide = found.filter("y is null").select(F.col("x").alias("node"), "token", "n", "pos")
 
-    nearest = pairs.groupBy(F.col("y").alias("z")).agg(F.min("x").alias("x")).select("x", F.col("z").alias("y"))
-    links = verify(X.written(nearest, "pairs"), docs, ngram, percent)
+    pairs = X.written(pairs, "pairs")
+    ends = pairs.select(F.col("x").alias("node"), F.col("y").alias("other"), "rarer").unionByName(pairs.select(F.col("y").alias("node"), F.col("x").alias("other"), "rarer"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("rarer", "other")).alias("best")).select(F.least("node", "best.other").alias("x"), F.greatest("node", "best.other").alias("y")).distinct()
+    nearest = X.written(nearest, "nearest")
+    links = verify(nearest, docs, ngram, percent)
     same = meta.filter("n_shingles > 0 and doc_id is not null").select("digest", "doc_id")
     first = same.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = X.written(same.join(first, "digest").filter("first < doc_id").select(F.col("first").alias("x"), F.col("doc_id").alias("y")).distinct(), "copies")
@@ -262,7 +279,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
 
     rest = pairs.join(part.withColumnsRenamed({"node": "x", "component": "cx"}), "x", "left").join(part.withColumnsRenamed({"node": "y", "component": "cy"}), "y", "left")
     rest = rest.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y").join(nearest, ["x", "y"], "left_anti")
-    rest = rest.unionByName(across(wide, part, shape, percent)).distinct()
+    rest = rest.select("x", "y").unionByName(across(wide, part, shape, percent)).distinct()
     more = verify(X.written(rest, "pairs"), docs, ngram, percent)
     part = components(part.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more))
     out = meta.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
