@@ -2,15 +2,15 @@
 
 A text is its UTF-8 bytes with A-Z lower-cased, an end symbol (255, which UTF-8 never uses) after them
 and zeros before. Each byte is eight binary decisions; each decision has a node in the context tree of
-0, 1, 2 and 3 preceding bytes. A node's counts of zeros and ones give the Krichevsky-Trofimov block
-probability Pe; Pw = Pe at depth 3 and (Pe + product of the children's Pw) / 2 above. A decision's
+0, 1, ... DEPTH preceding bytes. A node's counts of zeros and ones give the Krichevsky-Trofimov block
+probability Pe; Pw = Pe at DEPTH and (Pe + product of the children's Pw) / 2 above. A decision's
 probability mixes the estimates of all depths with the weights that these products give to the nodes
 after all training texts: p(d) = (b KT(d) + p(d + 1)) / (b + 1) with b = Pe / product.
 
-The counts cover all training documents. Each block of documents sends its distinct words and 4-grams
-with its training counts; a bucket's task sums them and answers each block. 4-grams of one 2-byte
-context meet in one bucket, so depths 3 and 2 are local to it; depths 1 and 0 have at most 256 * 255 and
-255 nodes and are summed on the driver. Nothing else is collected; the rest grows with the input.
+The counts cover all training documents. Each block of documents sends its distinct words and its
+distinct strings of DEPTH + 1 bytes (grams) with their training counts; a bucket's task sums them and
+answers each block. Grams of one 2-byte context meet in one bucket, so depths from 2 on are local to it;
+depths 1 and 0 have at most 256 * 255 and 255 nodes and are summed on the driver. Nothing else is collected; the rest grows with the input.
 
 The base score beside it: add-half unigram over words `[^\\x20\\x09-\\x0D]+` and one end token.
 
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm import exchange as X
 from sparkloom.llm import text as T
 
-DEPTH = 3
+#: Bytes of the longest context: 2 to 6.
+DEPTH = 5
 END = 255
 END_WORD = np.uint64(0x454E44)  # stands for the end token beside 64-bit word hashes
 WORDS = np.dtype([("key", "<u8"), ("count", "<u4")])
-GRAMS = np.dtype([("key", "<u4"), ("count", "<u4")])
-ANSWER = np.dtype([("key", "<u4"), ("log2p", "<f4")])
+GRAMS = np.dtype([("key", "<u8"), ("count", "<u4")])
+ANSWER = np.dtype([("key", "<u8"), ("log2p", "<f4")])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, n_bytes long, bits double"
 _HALF = math.log(0.5)
 
@@ -65,15 +66,16 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol with the three before it, as four bytes of a number, and their offsets by document."""
+    """Each symbol with the DEPTH before it, as bytes of a number, and their offsets by document."""
     n = len(offs) - 1
     at = offs + np.arange(n + 1) * (DEPTH + 1)
-    line = np.zeros(at[-1] + DEPTH, np.uint32)
-    low = T.LOWER[data]
-    line[np.arange(len(data)) + np.repeat(at[:-1] + DEPTH - offs[:-1], np.diff(offs))] = low
+    line = np.zeros(at[-1] + DEPTH, np.uint64)
+    line[np.arange(len(data)) + np.repeat(at[:-1] + DEPTH - offs[:-1], np.diff(offs))] = T.LOWER[data]
     line[at[1:] - 1] = END
-    g = (line[:-3] << 24) | (line[1:-2] << 16) | (line[2:-1] << 8) | line[3:]
-    # position i ends at line[i + 3]; a document's symbols begin DEPTH after its begin
+    g = np.zeros(len(line) - DEPTH, np.uint64)
+    for i in range(DEPTH + 1):
+        g = (g << np.uint64(8)) | line[i : i + len(g)]
+    # position i ends at line[i + DEPTH]; a document's symbols begin DEPTH after its begin
     keep = np.ones(len(g), bool)
     skip = (at[1:, None] - DEPTH + np.arange(DEPTH)).ravel()
     keep[skip[skip < len(g)]] = False
@@ -106,43 +108,63 @@ def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return T.span_hash(T.prefix_hash(low), s, e), before
 
 
+def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and each one's place among them."""
+    order = np.argsort(ids, kind="stable")
+    first = np.concatenate(([True], ids[order][1:] != ids[order][:-1])) if len(ids) else np.zeros(0, bool)
+    at = np.empty(len(ids), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ids[order][first], at
+
+
 class Tree:
-    """The nodes of depths 3 and 2 of one bucket's 4-grams."""
+    """The nodes of depths DEPTH to 2 of one bucket's grams."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray):
         self.key = key.astype(np.int64)
         x, k = self.key & 255, np.arange(8)[:, None]
         node = (1 << k) | (x >> (8 - k))
         self.bit = (x >> (7 - k)) & 1
-        self.id3, self.at3 = np.unique((self.key >> 8 << 8 | node).ravel(), return_inverse=True)
-        self.at3 = self.at3.reshape(8, -1)
+        ids, at = places((self.key >> 8 << 8 | node).ravel())
+        self.at = at.reshape(8, -1)
         many = np.broadcast_to(count, self.bit.shape).ravel().astype(np.float64)
         ones = self.bit.ravel() == 1
-        self.ones3 = np.bincount(self.at3.ravel(), many * ones, len(self.id3))
-        self.zeros3 = np.bincount(self.at3.ravel(), many * ~ones, len(self.id3))
-        self.id2, self.up2 = np.unique(self.id3 & 0xFFFFFF, return_inverse=True)
-        self.zeros2, self.ones2, below = (np.bincount(self.up2, v, len(self.id2)) for v in (self.zeros3, self.ones3, log_kt(self.zeros3, self.ones3)))
-        own = log_kt(self.zeros2, self.ones2)
-        self.lean2 = own - below
-        self.log_pw2 = np.logaddexp(_HALF + own, _HALF + below)
+        # from the deepest level up: counts, each node's parent, and how far Pe outweighs the children
+        self.zeros = [np.bincount(at, many * ~ones, len(ids))]
+        self.ones = [np.bincount(at, many * ones, len(ids))]
+        self.up, self.lean = [], []
+        self.log_pw = log_kt(self.zeros[0], self.ones[0])
+        for depth in range(DEPTH - 1, 1, -1):
+            ids, up = places(ids & ((1 << (8 * depth + 8)) - 1))
+            zeros, ones_, below = (np.bincount(up, v, len(ids)) for v in (self.zeros[-1], self.ones[-1], self.log_pw))
+            own = log_kt(zeros, ones_)
+            self.up.append(up)
+            self.zeros.append(zeros)
+            self.ones.append(ones_)
+            self.lean.append(own - below)
+            self.log_pw = np.logaddexp(_HALF + own, _HALF + below)
+        self.ids = ids
 
     def roots(self) -> tuple[np.ndarray, ...]:
         """(1-byte context and node, zeros, ones, sum of log Pw) for depth 1."""
-        id1, up = np.unique(self.id2 & 0xFFFF, return_inverse=True)
-        return id1, *(np.bincount(up, v, len(id1)) for v in (self.zeros2, self.ones2, self.log_pw2))
+        id1, up = places(self.ids & 0xFFFF)
+        return id1, *(np.bincount(up, v, len(id1)) for v in (self.zeros[-1], self.ones[-1], self.log_pw))
 
     def log2p(self, top: dict[str, np.ndarray]) -> np.ndarray:
-        """Of each 4-gram's last byte, given the others."""
-        id1 = self.id2 & 0xFFFF
+        """Of each gram's last byte, given the others."""
         total = np.zeros(len(self.key))
         for k in range(8):
-            a3, bit = self.at3[k], self.bit[k] == 1
-            a2 = self.up2[a3]
-            a1 = id1[a2]
-            a0 = a1 & 255
+            a, bit = self.at[k], self.bit[k] == 1
             kt = lambda z, o: (np.where(bit, o, z) + 0.5) / (z + o + 1)  # noqa: B023, E731
-            p = kt(self.zeros3[a3], self.ones3[a3])
-            for z, o, lean in ((self.zeros2[a2], self.ones2[a2], self.lean2[a2]), (top["zeros1"][a1], top["ones1"][a1], top["lean1"][a1]), (top["zeros0"][a0], top["ones0"][a0], top["lean0"][a0])):
+            p = kt(self.zeros[0][a], self.ones[0][a])
+            levels = []
+            for i, up in enumerate(self.up):
+                a = up[a]
+                levels.append((self.zeros[i + 1][a], self.ones[i + 1][a], self.lean[i][a]))
+            a = self.ids[a] & 0xFFFF
+            levels.append((top["zeros1"][a], top["ones1"][a], top["lean1"][a]))
+            levels.append((top["zeros0"][a & 255], top["ones0"][a & 255], top["lean0"][a & 255]))
+            for z, o, lean in levels:
                 w = 1 / (1 + np.exp(-np.clip(lean, -60, 60)))
                 p = w * kt(z, o) + (1 - w) * p
             total += np.log2(p)
@@ -201,7 +223,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
             k, c = tally(np.concatenate([x[0] for x in sums[kind]]), np.concatenate([x[1] for x in sums[kind]]))
             rows = np.empty(len(k), dtype)
             rows["key"], rows["count"] = k, c
-            bucket = T.mix(k.astype(np.uint64) if kind == "w" else (k.astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_buckets)
+            bucket = T.mix(k.astype(np.uint64) if kind == "w" else (k >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_buckets)
             yield X.packed(bucket.astype(np.int64) + (n_buckets if kind == "g" else 0), rows, home)
 
     asked = X.written(parts().mapInArrow(ask, X.PACKED), "asked")
@@ -267,22 +289,43 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals["n"])).cast("long").alias("train_tokens"), (F.col("base_log") - scale * F.col("n_tokens")).alias("base_score"), (-bits * math.log10(2)).alias("score"), "n_bytes", (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
+class Table:
+    """An open-addressing table from 64-bit keys to values; every key looked up must be in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.keys, self.values = keys, values
+        left, at = np.arange(len(keys), dtype=np.int32), self.spot(keys)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]  # of those that want one place the last gets it
+            lost = self.slot[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.spot(keys)
+        found = self.slot[at]
+        left = np.flatnonzero(self.keys[found] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slot[at[left]]
+            left = left[self.keys[found[left]] != keys[left]]
+        return self.values[found]
+
+
 class Lookup:
-    """A block's answers. 4-grams are found by the numbers of their two halves where these are few."""
+    """A block's answers."""
 
     def __init__(self, words: np.ndarray, answers: np.ndarray):
         order = np.argsort(words["key"])
         self.words, self.log_count = words["key"][order], np.log10(words["count"][order] + 0.5)
         self.known = words["count"][order] > 0
-        order = np.argsort(answers["key"])
-        self.grams, self.log2p = answers["key"][order], answers["log2p"][order].astype(np.float64)
-        high, low = np.unique(self.grams >> 16), np.unique(self.grams & 0xFFFF)
-        self.table = None
-        if len(high) * len(low) <= 1 << 24:
-            self.high, self.low = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-            self.high[high], self.low[low] = np.arange(len(high)) * len(low), np.arange(len(low))
-            self.table = np.zeros(len(high) * len(low), np.float32)
-            self.table[self.high[self.grams >> 16] + self.low[self.grams & 0xFFFF]] = answers["log2p"][order]
+        self.table = Table(answers["key"].copy(), answers["log2p"].astype(np.float32))
 
     def rows(self, ids: pa.Array, held: pa.Array, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
         h, before = word_keys(data, offs)
@@ -293,6 +336,6 @@ class Lookup:
         base = np.array([self.log_count[at[a:b]].sum() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]) + self.log_count[end] if len(n) else sums[:0]
         known = T.sums_by(self.known[at], before) + int(self.known[end])
         g, go = grams(data, offs)
-        p = self.table[self.high[g >> 16] + self.low[g & 0xFFFF]] if self.table is not None else self.log2p[np.searchsorted(self.grams, g)]
+        p = self.table.get(g)
         bits = -np.add.reduceat(p.astype(np.float64), go[:-1]) if len(n) else sums[:0]
         return pa.RecordBatch.from_arrays([ids, held, pa.array(n + 1), pa.array(known), pa.array(base), pa.array(np.diff(offs)), pa.array(bits)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_log", "n_bytes", "bits"])

@@ -38,18 +38,18 @@ def weighted(rows):
     n = defaultdict(lambda: [0, 0])
 
     def steps(t):
-        s = b"\0\0\0" + lower(t) + b"\xff"
-        for i in range(3, len(s)):
+        s = b"\0" * ctw.DEPTH + lower(t) + b"\xff"
+        for i in range(ctw.DEPTH, len(s)):
             for k in range(8):
-                yield (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1, s[i - 3 : i]
+                yield (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1, s[i - ctw.DEPTH : i]
 
     for d, t in rows:
         if not held(d):
             for node, bit, ctx in steps(t):
-                for depth in range(4):
-                    n[ctx[3 - depth :], node][bit] += 1
+                for depth in range(ctw.DEPTH + 1):
+                    n[ctx[ctw.DEPTH - depth :], node][bit] += 1
     pw, lean = {}, {}
-    for depth in (3, 2, 1, 0):
+    for depth in range(ctw.DEPTH, -1, -1):
         below = defaultdict(float)
         for (ctx, node), v in pw.items():
             if len(ctx) == depth + 1:
@@ -57,7 +57,7 @@ def weighted(rows):
         for (ctx, node), (a, b) in list(n.items()):
             if len(ctx) == depth:
                 pe = log_pe(a, b)
-                if depth == 3:
+                if depth == ctw.DEPTH:
                     pw[ctx, node] = pe
                 else:
                     lean[ctx, node] = pe - below[ctx, node]
@@ -67,11 +67,11 @@ def weighted(rows):
         total = 0.0
         for node, bit, ctx in steps(t):
             p = None
-            for depth in (3, 2, 1, 0):
-                c = n.get((ctx[3 - depth :], node), (0, 0))
+            for depth in range(ctw.DEPTH, -1, -1):
+                c = n.get((ctx[ctw.DEPTH - depth :], node), (0, 0))
                 kt = (c[bit] + 0.5) / (c[0] + c[1] + 1)
-                w = 1 / (1 + math.exp(-max(-60, min(60, lean.get((ctx[3 - depth :], node), 0.0)))))
-                p = kt if depth == 3 else w * kt + (1 - w) * p
+                w = 1 / (1 + math.exp(-max(-60, min(60, lean.get((ctx[ctw.DEPTH - depth :], node), 0.0)))))
+                p = kt if depth == ctw.DEPTH else w * kt + (1 - w) * p
             total += math.log10(p)
         out.append(total)
     return out
