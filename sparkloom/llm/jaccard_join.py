@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exchange as X
@@ -261,8 +261,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
     docs = docs.select(F.col(key).cast("long").alias("owner"), F.col(text).cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(cells(docs, ngram))
     sent = X.written(tokens(docs, counts, ngram, percent, X.buckets(spark)), "prefixes")
-    meta = sent.filter("bucket = -1").select(F.col("origin").alias("doc_id"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("n_shingles"), F.substring("payload", 9, 16).alias("digest"))
-    shape = sent.filter("bucket = -1").select(F.col("origin").alias("node"), "full", "half")
+    meta = sent.filter("bucket = -1").select(F.col("origin").alias("doc_id"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("n_shingles"), F.substring("payload", 9, 16).alias("digest"), "full", "half")
+    # a doc_id that stands for several sets has no one bitmap, and then none is held against it
+    sole = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    shape = meta.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "full", "half").filter("node is not null and size > 0")
+    shape = X.written(shape.groupBy("node").agg(sole("size"), sole("full"), sole("half")), "shapes")
     found = X.written(X.exchanged(sent.filter("bucket >= 0").select("bucket", "origin", "payload"), pair_up(percent), CANDIDATES), "candidates")
     pairs = found.filter("y is not null").groupBy("x", "y").agg(F.min("pos").alias("rarer"))
     wide = found.filter("y is null").select(F.col("x").alias("node"), "token", "n", "pos")
@@ -270,7 +273,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
     pairs = X.written(pairs, "pairs")
     ends = pairs.select(F.col("x").alias("node"), F.col("y").alias("other"), "rarer").unionByName(pairs.select(F.col("y").alias("node"), F.col("x").alias("other"), "rarer"))
     nearest = ends.groupBy("node").agg(F.min(F.struct("rarer", "other")).alias("best")).select(F.least("node", "best.other").alias("x"), F.greatest("node", "best.other").alias("y")).distinct()
-    nearest = X.written(nearest, "nearest")
+    nearest = X.written(plausible(nearest, shape, percent), "nearest")
     links = verify(nearest, docs, ngram, percent)
     same = meta.filter("n_shingles > 0 and doc_id is not null").select("digest", "doc_id")
     first = same.groupBy("digest").agg(F.min("doc_id").alias("first"))
@@ -279,28 +282,46 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
 
     rest = pairs.join(part.withColumnsRenamed({"node": "x", "component": "cx"}), "x", "left").join(part.withColumnsRenamed({"node": "y", "component": "cy"}), "y", "left")
     rest = rest.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y").join(nearest, ["x", "y"], "left_anti")
-    rest = rest.select("x", "y").unionByName(across(wide, part, shape, percent)).distinct()
+    rest = plausible(rest, shape, percent).unionByName(across(wide, part, shape, percent)).distinct()
     more = verify(X.written(rest, "pairs"), docs, ngram, percent)
     part = components(part.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more))
     out = meta.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def apart(a: str, b: str) -> Column:
+    """How many parities differ at least between two sets, from their columns full and half with a suffix;
+    null where the bitmaps have no common size."""
+    full, half = (lambda s: F.col(f"full_{s}")), (lambda s: F.col(f"half_{s}"))
+    same = F.size(full(a)) == F.size(full(b))
+    one = F.when(same | (F.size(full(a)) == F.size(half(b))), full(a)).when(F.size(half(a)) == F.size(full(b)), half(a))
+    two = F.when(same | (F.size(half(a)) == F.size(full(b))), full(b)).when(F.size(full(a)) == F.size(half(b)), half(b))
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def near_enough(sizes: Column, percent: int) -> Column:
+    """Whether two sets of this size together can be similar, by their parities."""
+    return F.coalesce(apart("a", "b") * (100 + percent) <= (100 - percent) * sizes, F.lit(True))
+
+
+def plausible(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that the bitmaps don't rule out."""
+    held = lambda key, s: shape.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "full", "half")))
+    out = pairs.select("x", "y").join(held("x", "a"), "x").join(held("y", "b"), "y")
+    return out.filter(near_enough(F.col("size_a") + F.col("size_b"), percent)).select("x", "y")
+
+
 def across(wide: DataFrame, part: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """Candidates of tokens with many owners that lie in different components."""
     rows = wide.join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("token")
     step = max(float(np.log(100 / percent)), 1e-3) * 1.001  # a little wide, for rounding
     rows = rows.join(mixed, "token").withColumn("size_class", F.floor(F.log("n") / step)).select("token", "node", "n", "pos", "c", "size_class")
-    # a doc_id that stands for several sets has no one bitmap, and then none is held against it
-    sole = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
-    rows = X.written(rows.join(shape.groupBy("node").agg(sole("full"), sole("half")), "node"), "wide")
-    a = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c", "full")), F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
+    rows = X.written(rows.join(shape.select("node", "full", "half"), "node"), "wide")
+    a = rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "c", "full", "half")), F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
     b = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "c", "full", "half")), "size_class")
     total = F.col("n_a") + F.col("n_b")
-    other = F.when(F.size("full_b") == F.size("full_a"), F.col("full_b")).when(F.size("half_b") == F.size("full_a"), F.col("half_b"))
-    apart = F.aggregate(F.zip_with("full_a", other, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     both = a.join(b, ["token", "size_class"]).filter("c_a <> c_b and n_a <= n_b and (n_a < n_b or node_a < node_b)").filter(100 * F.col("n_a") >= percent * F.col("n_b"))
     both = both.filter((100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * total)
-    both = both.filter(F.coalesce(apart * (100 + percent) <= (100 - percent) * total, F.lit(True)))
+    both = both.filter(near_enough(total, percent))
     return both.select(F.least("node_a", "node_b").alias("x"), F.greatest("node_a", "node_b").alias("y"))
