@@ -182,7 +182,7 @@ def fit(points: DataFrame, levels: list[str]) -> DataFrame:
     schema = "group string, n long, center array<double>, inverse array<double>"
     medians = points.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES), *(F.stddev_pop(x).alias(f"d_{x}") for x in NAMES))
     unit = [F.greatest(F.coalesce(F.col(f"d_{x}"), F.lit(0.0)), F.lit(float(f))) for x, f in zip(NAMES, floors, strict=True)]
-    now = medians.select("group", F.array(*(f"m_{x}" for x in NAMES)).alias("center"), F.array(*((1 / (unit[i] * unit[i]) if i == j else F.lit(0.0)) for i in range(p) for j in range(p))).alias("inverse"))
+    now = X.written(medians.select("group", F.array(*(f"m_{x}" for x in NAMES)).alias("center"), F.array(*((1 / (unit[i] * unit[i]) if i == j else F.lit(0.0)) for i in range(p) for j in range(p))).alias("inverse")), "mcd")  # of known size, so that the join sends it to the rows
     for _ in range(STEPS):
         binned = points.join(now.select("group", "center", "inverse"), "group").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * BINS_PER_OCTAVE).cast("int"))
         m = binned.groupBy("group", "bin").agg(*sums).select("group", "bin", packed)
