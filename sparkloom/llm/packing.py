@@ -32,7 +32,7 @@ END_ID = 1
 #: Tasks whose leftovers, a window each, are merged together.
 MERGE = 1024
 #: Segments whose ids a worker keeps: twice as many at most (a younger and an older half).
-CACHE = 500_000
+CACHE = 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
