@@ -15,6 +15,7 @@ its length is a power of two.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,7 +51,8 @@ class Segments(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # segments hold no added token: texts that do are left to the tokenizer
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.older: dict[str, bytes] = {}
         self.direct = self.bytewise(path)
 
@@ -79,6 +81,12 @@ class Segments(dict):
         return out
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.added.search(text):
+            return np.frombuffer(self.plain(text), "<u2")
+        # the tokenizer itself knows its added tokens; such texts are rare
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         try:
             tail = b"".join(map(self.__getitem__, rest))
@@ -93,7 +101,7 @@ class Segments(dict):
                     head += " " + s
             tail = b"".join(map(self.__getitem__, joined))
         first = np.array(self.direct(head), "<u2").tobytes() if head else b""
-        return np.frombuffer(first + tail, "<u2")
+        return first + tail
 
 
 _segments: dict[str, Segments] = {}

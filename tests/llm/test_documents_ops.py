@@ -89,6 +89,19 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_reads_added_tokens_as_the_tokenizer_does(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n <|endoftext|>", "<|endoftext| >", "plain text  of words"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {p.doc_id: p for p in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_path()).collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [1]
+        assert (got[i].doc_tokens, got[i].length, got[i].ids_crc32) == (len(ids), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing_leaves_little_padding(spark):
     pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8), queries.tokenizer_path())
     row = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("s")).first()
