@@ -65,6 +65,14 @@ def dense_topk(spark, sf):
     return hits.select("query", "doc", "rank")
 
 
+@query(f"""SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS doc, cast(floor(({COS}) * 1000000 + 0.5) AS BIGINT) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) s WHERE score > 0) t WHERE rank <= 20""")
+def dense_topk_every50(spark, sf):
+    """Every vector whose id is divisible by 50 against all vectors: queries grow with the table."""
+    rows = read(spark, sf, "embeddings")
+    hits = R.dense(rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), rows.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), 20)
+    return hits.select("query", "doc", "rank")
+
+
 @query("""WITH q AS (SELECT DISTINCT n_nationkey AS query, unnest(['lang:' || CASE n_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END, 'source:src' || cast(n_nationkey % 20 AS VARCHAR)]) AS tag FROM nation),
 d AS (SELECT doc_id AS doc, unnest(['lang:' || lang, 'source:' || source]) AS tag FROM documents)
 SELECT * FROM (SELECT query, doc, count(*) AS score, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, doc) AS rank FROM q JOIN d USING (tag) GROUP BY 1, 2) t WHERE rank <= 20""")

@@ -32,3 +32,9 @@ def test_query(spark, con, name):
     assert sorted(names) == cols
     want = sorted(tuple(str(r[names.index(c)]) for c in cols) for r in done.fetchall())
     assert sorted(tuple(str(r[c]) for c in cols) for r in got.collect()) == want
+
+
+def test_vector_queries_grow_with_the_table(spark):
+    for sf, n in (("sf0.001", 10), ("sf0.1", 40)):
+        got = catalog.QUERIES["dense_topk_every50"](spark, f"/root/testdata/{sf}").select("query").distinct().collect()
+        assert {r.query for r in got} == set(range(0, 50 * n, 50))
