@@ -126,6 +126,14 @@ def test_tiff_known_streams():
     assert tiff.unpack_bits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA]), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")[:24]
 
 
+def test_tiff_reads_every_page():
+    import numpy as np
+
+    n = (1 << 16) + 3
+    media = tiff.encode([{"pixels": np.array([[i % 251]], np.uint8), "compression": tiff.NONE} for i in range(n)])
+    assert [int(p["pixels"][0, 0]) for p in tiff.pages(media)] == [i % 251 for i in range(n)]
+
+
 def test_tiff_rows(spark):
     import numpy as np
 
