@@ -105,7 +105,7 @@ def render_turns(conversations: DataFrame) -> DataFrame:
             made = [render_checked(r, t) for r, t in zip(roles, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(made, pa.string())], names=["conv_id", "turn", "role", "text", "rendered"])
 
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(run, RENDERED)
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(X.trimmed(run), RENDERED)
 
 
 def streamed(rendered: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
                 seqs.append(seq)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.int64()), batch.column(4)], names=["conv_id", "seq", "piece"])
 
-    return streamed(render_turns(conversations)).mapInArrow(number, "conv_id long, seq long, piece string")
+    return streamed(render_turns(conversations)).mapInArrow(X.trimmed(number), "conv_id long, seq long, piece string")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long, identical boolean"
@@ -177,4 +177,4 @@ def round_trip(conversations: DataFrame) -> DataFrame:
             out.append(state.row())
             yield flush()
 
-    return streamed(render_turns(conversations)).mapInArrow(fold, DIGEST)
+    return streamed(render_turns(conversations)).mapInArrow(X.trimmed(fold), DIGEST)

@@ -196,7 +196,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), held.alias("held"))
     keys = X.one_key_a_partition(spark, n_blocks)
     assert len(keys) == n_blocks
-    packed = X.blocks(docs, "doc_id", n_blocks)
+    packed = X.blocks(docs, F.xxhash64("doc_id", "text"), n_blocks)
     parts = lambda: packed.repartition(n_blocks, "bucket")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
             bucket = T.mix(k.astype(np.uint64) if kind == "w" else (k >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_buckets)
             yield X.packed(bucket.astype(np.int64) + (n_buckets if kind == "g" else 0), rows, home)
 
-    asked = X.written(parts().mapInArrow(ask, X.PACKED), "asked")
+    asked = X.written(parts().mapInArrow(X.trimmed(ask), X.PACKED), "asked")
     word_rows, gram_rows = asked.filter(F.col("bucket") < n_buckets), asked.filter(F.col("bucket") >= n_buckets)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
 
     every = words.select("bucket", "origin", "payload").unionByName(answers).unionByName(packed)
     # answers sort before texts, and the texts stream through
-    scored = every.repartition(n_blocks, "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(final, SCORES)
+    scored = every.repartition(n_blocks, "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(X.trimmed(final), SCORES)
     scale = math.log10(totals["n"] + 0.5 * (totals["v"] + 1))
     bits = F.col("bits")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals["n"])).cast("long").alias("train_tokens"), (F.col("base_log") - scale * F.col("n_tokens")).alias("base_score"), (-bits * math.log10(2)).alias("score"), "n_bytes", (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

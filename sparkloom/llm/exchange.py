@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import text as T
@@ -17,31 +18,75 @@ PACKED = "bucket int, origin long, payload binary"
 
 
 def partitions(spark: SparkSession) -> int:
+    tuned(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh local one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. A session on one machine (tests) gets a fresh local one where that
+    is unset; on a cluster each executor would write to its own disk, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: documents are long, and Spark bounds batches by rows alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+BATCH_ROWS = 1000
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._sparkloom_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables of this application, once no result reads them any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_folder(spark)}/sparkloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/sparkloom/{spark.sparkContext.applicationId}")
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f`, whose worker gives the memory of its temporary arrays back when a task ends: idle workers stay, and an
+    executor has several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 _keys: dict[int, list[int]] = {}
@@ -101,23 +146,48 @@ def exchanged(df: DataFrame, reduce: Callable[[Iterator[pa.RecordBatch]], Iterat
     spark = df.sparkSession
     n = partitions(spark)
     home = F.element_at(F.lit(one_key_a_partition(spark, n)), F.pmod("bucket", F.lit(n)) + 1)
-    return df.withColumn("__home", home).repartition(n, "__home").drop("__home").sortWithinPartitions("bucket", "origin").mapInArrow(reduce, schema)
+    return df.withColumn("__home", home).repartition(n, "__home").drop("__home").sortWithinPartitions("bucket", "origin").mapInArrow(trimmed(reduce), schema)
+
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def blocks(docs: DataFrame, key: str, n: int) -> DataFrame:
-    """PACKED rows of compressed runs of `docs` by block, to be sent to their block's task. A row's block
-    depends on `key` alone, so the same rows meet again in every pass; blocks are as many as tasks."""
+
+def rebatched(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, so that what is sent to many blocks isn't cut too small."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(i) for h in held]) for i in range(held[0].num_columns)], schema=held[0].schema)
+
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield joined()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield joined()
+
+
+def blocks(docs: DataFrame, block: Column, n: int) -> DataFrame:
+    """PACKED rows (origin 1) of compressed runs of `docs` by block, to be sent to their block's task. `block` (a
+    long) must depend on a row's content alone, so that the same rows meet again in every pass."""
     spark = docs.sparkSession
     keys = np.array(one_key_a_partition(spark, n), np.int32)
-    names = docs.columns
+    wide = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            where = batch.column(len(names)).to_numpy()
+        for batch in rebatched(batches):
+            where = batch.column(wide).to_numpy()
             order = np.argsort(where, kind="stable")
             cut = np.flatnonzero(np.concatenate(([True], np.diff(where[order]) > 0, [True]))) if len(where) else [0]
-            rows = batch.select(names).take(pa.array(order))
+            rows = batch.select(list(range(wide))).take(pa.array(order))
             out = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 sink = pa.BufferOutputStream()
@@ -127,7 +197,44 @@ def blocks(docs: DataFrame, key: str, n: int) -> DataFrame:
             there = [int(where[order[a]]) for a in cut[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(keys[there] if there else [], pa.int32()), pa.array([1] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "origin", "payload"])
 
-    return docs.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(run, PACKED)
+    return docs.select("*", F.pmod(block, F.lit(n)).cast("int").alias(unused(docs, "block"))).mapInArrow(trimmed(run), PACKED)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose long `key` isn't among the first column of `gone`. Rows travel once, compressed, to
+    their block, and the ids meet them there; a null key stays."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    keys = np.array(one_key_a_partition(spark, n), np.int32)
+    at = lambda c: F.xxhash64(c.cast("long"))
+    put = docs.select("*", F.col(key).cast("long").alias(unused(docs, "id")))
+    # rows without an id are dealt by their order, as nothing has to meet them
+    texts = blocks(put, F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(at(F.col(key))), n)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield packed(keys[home].astype(np.int64), ids.view(np.dtype([("id", "<i8")])), -1)
+
+    id_ = gone.columns[0]
+    ids = gone.filter(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.pmod(at(F.col(id_)), F.lit(n)).cast("int").alias("home")).mapInArrow(trimmed(send), PACKED)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, out = [], None
+        for batch in batches:
+            for o, p in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if o < 0:
+                    parts.append(np.frombuffer(p.as_py(), np.int64))
+                    continue
+                if out is None:
+                    out = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+                rows = unblocked(p.as_py())
+                own = rows.column(len(names))
+                hit = np.isin(own.fill_null(0).to_numpy(zero_copy_only=False), out) & ~own.is_null().to_numpy(zero_copy_only=False)
+                yield rows.select(list(range(len(names)))).filter(pa.array(~hit))
+
+    return ids.unionByName(texts).repartition(n, "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(trimmed(keep), docs.schema)
 
 
 def unblocked(payload: bytes) -> pa.RecordBatch:
@@ -160,7 +267,7 @@ def bloom(ids: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     step = len(out) // 16
-    for r in exchanged(ids.select(F.col("id").cast("long")).mapInArrow(run, PACKED), either, "bucket int, payload binary").collect():
+    for r in exchanged(ids.select(F.col("id").cast("long")).mapInArrow(trimmed(run), PACKED), either, "bucket int, payload binary").collect():
         out[r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(r.payload, np.uint8)
     return out
 

@@ -96,7 +96,7 @@ def cells(docs: DataFrame, ngram: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(total, (1 << 31) - 1).astype("<u4").tobytes()], pa.binary())], names=["bucket", "payload"])
 
     out = np.zeros(1 << CELL_BITS, np.uint64)
-    for r in X.exchanged(docs.mapInArrow(count, X.PACKED), add, "bucket int, payload binary").collect():
+    for r in X.exchanged(docs.mapInArrow(X.trimmed(count), X.PACKED), add, "bucket int, payload binary").collect():
         out[r.bucket * part : (r.bucket + 1) * part] = np.frombuffer(r.payload, "<u4")
     return out
 
@@ -131,7 +131,7 @@ def tokens(docs: DataFrame, counts, ngram: int, percent: int, n_buckets: int) ->
                     hole = pa.nulls(got.num_rows, pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([*got.columns, hole, hole], names=["bucket", "origin", "payload", "full", "half"])
 
-    return docs.mapInArrow(run, X.PACKED + ", full array<long>, half array<long>")
+    return docs.mapInArrow(X.trimmed(run), X.PACKED + ", full array<long>, half array<long>")
 
 
 def lists(rows: list[np.ndarray]) -> pa.Array:
@@ -219,7 +219,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataF
             for a, b, d, o in T.chunks(data, offs):
                 yield pa.RecordBatch.from_arrays([part.column(0).combine_chunks()[a:b], pa.array([v.tobytes() for v in sets(d, o, ngram)], pa.binary())], names=["owner", "grams"])
 
-    held = X.written(docs.mapInArrow(own_sets, "owner long, grams binary").filter("octet_length(grams) > 0"), "sets")
+    held = X.written(docs.mapInArrow(X.trimmed(own_sets), "owner long, grams binary").filter("octet_length(grams) > 0"), "sets")
     fan = pairs.groupBy("x").agg(F.count("*").alias("m"))
     spread = pairs.join(fan, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / FAN)).cast("int")).select("x", "y", "salt")
     left = spread.select("x", "salt").distinct().join(held, F.col("x") == F.col("owner")).select("x", "salt", F.lit(None).cast("long").alias("y"), "grams")
@@ -252,7 +252,7 @@ def verify(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
     rows = left.unionByName(right).repartition(X.partitions(spark), "x", "salt").sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
-    return X.written(rows.mapInArrow(compare, "x long, y long"), "links")
+    return X.written(rows.mapInArrow(X.trimmed(compare), "x long, y long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:

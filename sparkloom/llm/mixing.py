@@ -111,7 +111,7 @@ def fit(docs: DataFrame, domains: DataFrame, names: list[str], text: str = "text
                     best, scale = loss, s
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((weights.ravel(), bias, [scale])).astype("<f4").tobytes()], pa.binary())], names=["model"])
 
-    got = rows.repartition(1).sortWithinPartitions("at").mapInArrow(learn, "model binary").collect()
+    got = rows.repartition(1).sortWithinPartitions("at").mapInArrow(X.trimmed(learn), "model binary").collect()
     if not got:
         return Model(names, np.zeros((DIM, len(names))), np.zeros(len(names)), 0.0)
     flat = np.frombuffer(got[0].model, "<f4").astype(np.float64)
@@ -133,7 +133,7 @@ def memberships(docs: DataFrame, model: Model, text: str = "text", key: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], batch.column(1)[a:z], pa.array(np.diff(before)), *(pa.array(p[:, i]) for i in range(k))], names=["doc_id", "at", "tokens", *(f"p{i}" for i in range(k))])
 
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")).alias("at"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, at long, tokens long" + "".join(f", p{i} double" for i in range(k)))
+    return plain.mapInArrow(X.trimmed(run), "doc_id long, at long, tokens long" + "".join(f", p{i} double" for i in range(k)))
 
 
 def rate(shifts: np.ndarray, floor: float):

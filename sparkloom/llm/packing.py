@@ -32,8 +32,11 @@ OPEN = 64
 END_ID = 1
 #: Tasks whose leftovers, a window each, are merged together.
 MERGE = 1024
-#: Segments whose ids a worker keeps: twice as many at most (a younger and an older half).
-CACHE = 200_000
+#: Bytes of segments and ids, with what a dictionary takes for each, that a task keeps in each of two halves.
+CACHE_BYTES = 12_000_000
+ENTRY_BYTES = 150
+#: Text bytes of the pieces that are held before they are handed on.
+SLICE_BYTES = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -54,6 +57,7 @@ class Segments(dict):
         # segments hold no added token: texts that do are left to the tokenizer
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.direct = self.bytewise(path)
 
     def bytewise(self, path: str):
@@ -74,12 +78,21 @@ class Segments(dict):
     def __missing__(self, key: str) -> bytes:
         if not key or key[0].isspace():
             raise KeyError(key)
-        if len(self) >= CACHE:
-            self.older = dict(self)
+        out = self.older.get(key) or np.array(self.direct(" " + key), "<u2").tobytes()
+        size = len(key) + len(out) + ENTRY_BYTES
+        if size > CACHE_BYTES // 8:  # one very long word is not worth its place
+            return out
+        if self.held + size > CACHE_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
-        out = self[key] = self.older.get(key) or np.array(self.direct(" " + key), "<u2").tobytes()
+        self[key] = out
+        self.held += size
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
     def ids(self, text: str) -> np.ndarray:
         if not self.added.search(text):
             return np.frombuffer(self.plain(text), "<u2")
@@ -152,14 +165,19 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
         vocabulary, part = segments(tokenizer_path), TaskContext.get().partitionId()
         open_ = Windows(window, open_windows, part << 36)
         for batch in batches:
-            done: list = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = vocabulary.ids(t or "").astype("<u4")
-                ids = np.append(ids, np.uint32(end_id))
+            done, size = [], 0
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = t.as_py() or ""
+                ids = np.append(vocabulary.ids(t), np.uint32(end_id)).astype("<u4")
                 for a in range(0, len(ids), window):
-                    piece = ids[a : a + window]
+                    piece = ids[a : a + window].copy()  # not a view, which would hold the whole document
                     done += open_.place(len(piece), (k, a, piece, len(ids)))
+                size += len(t)
+                if size > SLICE_BYTES:
+                    yield rows(done, -1, 0)
+                    done, size = [], 0
             yield rows(done, -1, 0)
+        vocabulary.forget()
         last: list = []
         at, w = 0, open_.new()
         for k, a, piece, total in (x for items in open_.held.values() for x, _, _ in items):
@@ -201,7 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
             yield pa.RecordBatch.from_pandas(group, schema=every.schema, preserve_index=False)
 
     wide = PIECES + ", merge_group long, used long"
-    pieces = X.written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(fill, wide), "pieces")
+    pieces = X.written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(X.trimmed(fill), wide), "pieces")
     spark = docs.sparkSession
-    late = pieces.filter("merge_group >= 0").repartition(X.partitions(spark), "merge_group").mapInArrow(merge, wide)
+    late = pieces.filter("merge_group >= 0").repartition(X.partitions(spark), "merge_group").mapInArrow(X.trimmed(merge), wide)
     return pieces.filter("merge_group < 0").unionByName(late).drop("merge_group", "used")

@@ -105,7 +105,7 @@ def statistics(docs: DataFrame, extra: list[str], text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(got[x].astype(np.int64)) for x in names), *(batch.column(2 + i)[a:b] for i in range(len(extra)))], names=["doc_id", *names, *extra])
 
     schema = STATS + "".join(f", {x} string" for x in extra)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(x).cast("string").alias(x) for x in extra)).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(x).cast("string").alias(x) for x in extra)).mapInArrow(X.trimmed(run), schema)
 
 
 def base_failed() -> Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import exchange as X
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -140,7 +142,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*made, strict=True)) if made else [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(X.trimmed(run), MEDIA)
 
 
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

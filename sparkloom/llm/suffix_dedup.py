@@ -265,7 +265,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by bucket, once for each distinct text of a batch and its block."""
-        for batch in batches:
+        for batch in X.rebatched(batches):
             words = batch.column(1).fill_null(b"").dictionary_encode()
             first = np.unique(words.indices.to_numpy(), return_index=True)[1]
             data, offs = T.column(words.dictionary)
@@ -298,12 +298,12 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 if got.num_rows:
                     yield got
 
-    known = X.written(X.exchanged(docs.mapInArrow(ask, X.PACKED), seen_twice, X.PACKED), "anchors")
+    known = X.written(X.exchanged(docs.mapInArrow(X.trimmed(ask), X.PACKED), seen_twice, X.PACKED), "anchors")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """PACKED texts by block, each distinct one of a batch once."""
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
+        for batch in X.rebatched(batches):
             words = batch.column(1).fill_null(b"").dictionary_encode()
             code, where = words.indices.to_numpy(), batch.column(2).to_numpy()
             order = np.lexsort((code, where))
@@ -323,7 +323,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 out.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys[home[edge[:-1]]], pa.int32()), pa.array(np.full(len(out), 1), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "origin", "payload"])
 
-    texts = docs.mapInArrow(send, X.PACKED)
+    texts = docs.mapInArrow(X.trimmed(send), X.PACKED)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, Block, np.ndarray]:
         """A block's texts with their candidate units, and the replies to an earlier step."""
@@ -413,7 +413,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             every = every.unionByName(f)
         return every.repartition(n_blocks, "bucket").sortWithinPartitions("bucket", "origin")
 
-    replies = X.written(X.exchanged(at_home(known).mapInArrow(units, X.PACKED), decide, X.PACKED), "replies")
+    replies = X.written(X.exchanged(at_home(known).mapInArrow(X.trimmed(units), X.PACKED), decide, X.PACKED), "replies")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, b, reply = gather(batches)
@@ -458,4 +458,4 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 yield flush()
         yield flush()
 
-    return at_home(known, replies).mapInArrow(cut, REMOVED)
+    return at_home(known, replies).mapInArrow(X.trimmed(cut), REMOVED)

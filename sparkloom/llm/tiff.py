@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import exchange as X
+
 # Tags, types and compression numbers of the format.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
@@ -318,4 +320,4 @@ def read_pages(df: DataFrame, media: str = "media", key: str = "key") -> DataFra
                 except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
                     yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"key": k, "error": str(e) or type(e).__name__}], schema=schema)
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(media).alias("media")).mapInArrow(rows, PAGES)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(media).alias("media")).mapInArrow(X.trimmed(rows), PAGES)

@@ -62,7 +62,6 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     for frame in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
         want = Counter()
         for d, x in frame.select("doc_id", "text").collect():

@@ -56,7 +56,6 @@ def test_packing_holds_every_token(steps):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(Q.tokenizer_path())
-    t.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in steps[4][1]}
     total = sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in steps[4][1])
     assert sum(p.length for p in steps[5][1]) == total
