@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import exchange as X
 from sparkloom.llm import queries as Q
 from sparkloom.llm.jaccard_join import jaccard_classes
 from sparkloom.llm.line_dedup import line_dedup
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of similar ones, that with the least id; a row without id stays."""
     classes = jaccard_classes(docs, ngram=NGRAM, percent=PERCENT)
     gone = classes.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return X.without(docs, gone, "doc_id")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over what the others wrote, one after the other; a stage's table goes when the next is written."""
     docs = Q.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    before = None
+    for name, stage in first:
+        docs = X.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            X.dropped(before)
+        before = docs
+    return last(spark, docs, sf_dir)
