@@ -9,8 +9,9 @@ backslashes already there) and the turn rendered anew, until the parse is identi
 Rows of a conversation are taken by turn, then role and text where turns tie; all rows are formatted,
 repeated ones too. Null text is empty, a null role an empty role, a null turn comes first and a null
 conv_id is a conversation of its own. An empty table gives no rows, further columns are ignored.
-Rows are rendered and checked one by one before the shuffle; a conversation's rows then pass through
-one task as a stream in turn order, whose state is a few hashes, however long the conversation is.
+Rows are rendered and checked one by one before the shuffle; a conversation's rows then pass through one task as a
+stream in turn order. There the joined text is parsed again, without knowing where rows end; the state is a few hashes
+and the text of the turn that is open, however long the conversation is.
 """
 
 from __future__ import annotations
@@ -65,22 +66,53 @@ def render(role: str, text: str) -> str:
     return head + text + tail
 
 
+class Reader:
+    """Turns of a formatted text that comes in pieces of any size: where a turn ends is for the grammar alone to say.
+
+    A turn ends at the first closer after its opener, which must be the opener's own. The text is looked at again when
+    it has doubled, so that the work stays linear; what is kept is the turn that is still open."""
+
+    LOOK = 1 << 16
+
+    def __init__(self, begin: str = BEGIN):
+        self.begin, self.pieces, self.size, self.look = begin, [], 0, self.LOOK
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        self.pieces.append(piece)
+        self.size += len(piece)
+        return self.read(False) if self.size >= self.look else []
+
+    def close(self) -> list[tuple[str, str]]:
+        return self.read(True)
+
+    def read(self, last: bool) -> list[tuple[str, str]]:
+        text, out, at = "".join(self.pieces), [], 0
+        if self.begin:
+            if not text.startswith(self.begin):
+                raise ParseError(f"no {self.begin!r}")
+            at, self.begin = len(self.begin), ""
+        while at < len(text):
+            m = OPENER.match(text, at)
+            # an opener's last space may be the closer's first, if the text is empty
+            c = CLOSERS.search(text, m.end()) if m else None
+            if not c and not last:
+                break
+            if not m:
+                raise ParseError(f"no opener at {at}")
+            closer = CLOSER.get(m[1], OTHER[1])
+            if not c or c[0] != closer:
+                raise ParseError(f"no {closer!r} after {at}")
+            out.append((ROLE[m[1]] if m[1] else role_of(m[2]), unescape(text[m.end() : c.start()])))
+            at = c.end()
+        self.pieces, self.size = [text[at:]], len(text) - at
+        self.look = max(self.LOOK, 2 * self.size)
+        return out
+
+
 def parse(rendered: str) -> list[tuple[str, str]]:
-    """The turns of a run of rendered turns. A turn ends at the first closer after its opener, which
-    must be the opener's own."""
-    out, at = [], 0
-    while at < len(rendered):
-        m = OPENER.match(rendered, at)
-        if not m:
-            raise ParseError(f"no opener at {at}")
-        closer = CLOSER.get(m[1], OTHER[1])
-        c = CLOSERS.search(rendered, m.end())
-        # an opener's last space may be the closer's first, if the text is empty
-        if not c or c[0] != closer:
-            raise ParseError(f"no {closer!r} after {at}")
-        out.append((ROLE[m[1]] if m[1] else role_of(m[2]), unescape(rendered[m.end() : c.start()])))
-        at = c.end()
-    return out
+    """The turns of a run of rendered turns."""
+    r = Reader("")
+    return r.feed(rendered) + r.close()
 
 
 def render_checked(role: str, text: str) -> str:
@@ -141,19 +173,25 @@ def round_trip(conversations: DataFrame) -> DataFrame:
             self.conv, self.turns, self.loss, self.source = conv, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
             self.n = self.loss_chars = self.escaped = 0
             self.chars = len(BEGIN)
+            self.reader = Reader()
+            self.reader.feed(BEGIN)
 
         def add(self, role: str, text: str, rendered: str) -> None:
             self.chars += len(rendered)
             self.source.update(f"{role}\n{text}\n".encode())
-            for r, t in parse(rendered):
+            self.take(self.reader.feed(rendered))
+            self.escaped += rendered != render(role, text)
+
+        def take(self, turns: list[tuple[str, str]]) -> None:
+            for r, t in turns:
                 self.n += 1
                 self.turns.update(f"{r}\n{t}\n".encode())
                 if r == "assistant":
                     self.loss.update(t.encode())
                     self.loss_chars += len(t)
-            self.escaped += rendered != render(role, text)
 
         def row(self) -> tuple:
+            self.take(self.reader.close())
             return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.escaped, self.turns.digest() == self.source.digest()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,10 @@ global order, rare first: by the count of the n-gram's cell in a table of CELLS
 whole corpus, then by hash (any common order gives the right pairs; the counts only make prefixes
 selective, and the table is as large for any corpus). Two sets of similarity t and more share a token in
 their first n - ceil(t n) + 1; those tokens are exchanged in packed rows. A token's owners become
-candidates under the length and positional filters. Suffix filters then bound the overlap from above by
-what lies behind the prefix: counts by hash range where sets are compared, and, for tokens with many
-owners, a bitmap of the parities of a set's hashes, about one bit for each n-gram. Bits that differ
-are at most as many as n-grams that differ.
+candidates under the length and positional filters. Two filters then look at what lies behind the prefix: a bitmap of
+the parities of a set's hashes, about one bit for each n-gram (bits that differ are at most as many as n-grams that
+differ), and, where two sets meet, the suffix filter: the tokens of one set that halve it again and again cut both
+sets into parts, and what the sizes of two parts differ by are n-grams that differ. Only then are the sets merged.
 
 No token's owners are all paired. Tokens with few owners give their pairs; of the others each owner is
 first paired with the owner of a similar size that has the fewest rarer tokens, the middle of the group.
@@ -46,7 +46,8 @@ FEW = 24
 BAND = 0.05
 #: Sets compared with one other in one task.
 FAN = 256
-RANGES = 32
+#: Parts that the suffix filter cuts a set into: five halvings.
+PARTS = 32
 TOKEN = np.dtype([("token", "<u8"), ("owner", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -150,6 +151,15 @@ def parities(v: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def differ_at_least(u: np.ndarray, v: np.ndarray) -> int:
+    """A lower bound of the tokens that are in one of two ascending sets alone: `u`'s tokens at PARTS - 1 even places
+    cut both."""
+    at = len(u) * np.arange(1, PARTS) // PARTS
+    mine = np.diff(np.concatenate(([0], at, [len(u)])))
+    other = np.diff(np.concatenate(([0], np.searchsorted(v, u[at]), [len(v)])))
+    return int(np.abs(mine - other).sum())
+
+
 CANDIDATES = "x long, y long, token long, n int, pos int"
 
 
@@ -226,22 +236,19 @@ def verify(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataF
     right = spread.join(held, F.col("y") == F.col("owner")).select("x", "salt", "y", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine, shape = None, [], []
+        now, mine = None, []
         for batch in batches:
             xs, ys = [], []
             for x, salt, y, g in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 v = np.frombuffer(g, np.uint64)
                 if now != (x, salt):
-                    now, mine, shape = (x, salt), [], []
-                c = np.bincount((v >> np.uint64(59)).astype(np.int64), minlength=RANGES)
+                    now, mine = (x, salt), []
                 if y is None:
                     mine.append(v)  # more than one where rows repeat a doc_id
-                    shape.append(c)
                     continue
-                for u, cu in zip(mine, shape, strict=True):
+                for u in mine:
                     least = overlap_needed(len(u), len(v), percent)
-                    # suffix filter: within each hash range the overlap is the smaller count at most
-                    if np.minimum(cu, c).sum() < least:
+                    if differ_at_least(u, v) > len(u) + len(v) - 2 * least:
                         continue
                     both = np.concatenate((u, v))
                     both.sort(kind="stable")
@@ -276,13 +283,14 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", ng
     nearest = X.written(plausible(nearest, shape, percent), "nearest")
     links = verify(nearest, docs, ngram, percent)
     same = meta.filter("n_shingles > 0 and doc_id is not null").select("digest", "doc_id")
-    first = same.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = X.written(same.groupBy("digest").agg(F.min("doc_id").alias("first")), "first")  # a table, so that a digest of many copies can be split
     copies = X.written(same.join(first, "digest").filter("first < doc_id").select(F.col("first").alias("x"), F.col("doc_id").alias("y")).distinct(), "copies")
     part = X.written(components(links.unionByName(copies)), "components")
 
     rest = pairs.join(part.withColumnsRenamed({"node": "x", "component": "cx"}), "x", "left").join(part.withColumnsRenamed({"node": "y", "component": "cy"}), "y", "left")
-    rest = rest.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y").join(nearest, ["x", "y"], "left_anti")
-    rest = plausible(rest, shape, percent).unionByName(across(wide, part, shape, percent)).distinct()
+    rest = rest.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
+    # the nearest pairs have been verified, so that no pair is twice
+    rest = plausible(rest, shape, percent).unionByName(across(wide, part, shape, percent)).distinct().join(nearest, ["x", "y"], "left_anti")
     more = verify(X.written(rest, "pairs"), docs, ngram, percent)
     part = components(part.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more))
     out = meta.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")

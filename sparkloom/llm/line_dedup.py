@@ -4,9 +4,9 @@ A document is its sequence of lines that have a word; a line's id is its 64-bit
 blocks, and everything moves in packed rows between blocks and buckets:
 
 1. Prefix doubling. A suffix's label is (id of its first line, place among the suffixes that begin with that
-   line). Round k sorts the pairs (label at i, label at i + 2**k) and so refines labels to 2**(k + 1) lines, until
-   a label is unique or its suffix has ended. Settled suffixes take no further part (but give their label to those
-   before them). A block sends each distinct pair once.
+   line). A round sorts the pairs (label at i, label at i + h) and so refines labels of h lines to 2h, until a label is
+   unique or its suffix has ended. Settled suffixes take no further part (but give their label to those before them).
+   A block sends each distinct pair once, so that a run which many documents share is as cheap as any other.
 2. Common prefixes. Neighbours in the order of labels are found in their bucket. Where the lines before both are
    equal too, their common prefix is one less than that of the suffixes one line up, so only the others are compared,
    line by line, in the block of the smaller neighbour; a label that settled in round k bounds the length.
@@ -46,7 +46,12 @@ COUNTED = np.dtype([("id", "<u8"), ("n", "<u8")])
 #: A suffix that a round needs: its row in the block, lines left, label, how many share it, how many its line.
 STATE = np.dtype([("row", "<u4"), ("left", "<u4"), ("id", "<u8"), ("sub", "<u8"), ("size", "<u8"), ("total", "<u8"), ("active", "?")])
 SETTLED = np.dtype([("row", "<u4"), ("sub", "<u8"), ("total", "<u8"), ("depth", "<u8")])
-PAIR = np.dtype([("id", "<u8"), ("sub", "<u8"), ("id2", "<u8"), ("sub2", "<u8"), ("end", "?"), ("n", "<u8"), ("total", "<u8")])
+#: How many labels a round's key has, each of as many lines; those behind a document's end are zero, which sorts first.
+REACH = 2
+LABELS = [f"{c}{i}" for i in range(1, REACH) for c in ("id", "sub")]
+KEY = np.dtype([("id", "<u8"), ("sub", "<u8"), *((c, "<u8") for c in LABELS), ("lines", "<u4"), ("n", "<u8"), ("total", "<u8")])
+#: From the last to the first that matters.
+ORDER = ["lines", *LABELS[::-1], "sub", "id"]
 REFINED = np.dtype([("sub", "<u8"), ("size", "<u8")])
 #: The least suffix of a label in a block.
 SUFFIX = np.dtype([("id", "<u8"), ("sub", "<u8"), ("total", "<u8"), ("doc", "<i8"), ("variant", "<i8"), ("line", "<u4"), ("left", "<u4"), ("row", "<u4")])
@@ -78,6 +83,12 @@ def note(row: list[int], kind: str = "note") -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([kind], pa.string()), pa.array([row], pa.list_(pa.int64()))], names=_NAMES)
 
 
+def named(f: Callable, name: str) -> Callable:
+    """`f` under the name that plans show."""
+    f.__name__ = name
+    return f
+
+
 def signed(v: np.ndarray) -> list[int]:
     return v.astype(np.uint64).view(np.int64).tolist()
 
@@ -135,6 +146,14 @@ def lines_left(rows: np.ndarray) -> np.ndarray:
     return np.repeat(new + many, many) - np.arange(len(rows))
 
 
+def shared(some: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The rows of documents with some row that is marked."""
+    if not len(some):
+        return some
+    begin = np.concatenate(([0], np.flatnonzero(left[:-1] == 1) + 1))  # one line is left at an end
+    return np.repeat(np.add.reduceat(some.astype(np.int64), begin) > 0, sizes(begin, len(some)))
+
+
 class Dealer:
     """Which bucket a label goes to, and the parts of a line that has more than its share, in the order of labels."""
 
@@ -159,24 +178,27 @@ class Dealer:
 
 
 def asked(state: np.ndarray, k: int, deal: Dealer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct pairs of round k by bucket, their buckets, the active rows, and each one's pair."""
+    """A block's distinct keys of round k by bucket, their buckets, the active rows, and each one's key."""
     at = np.flatnonzero(state["active"])
-    s, h = state[at], 1 << k
-    end = s["left"].astype(np.int64) <= h
-    other = state[at + np.where(end, 0, h)]
-    rows = np.empty(len(at), PAIR)
-    rows["id"], rows["sub"], rows["end"], rows["n"], rows["total"] = s["id"], s["sub"], end, 1, s["total"]
-    rows["id2"], rows["sub2"] = np.where(end, 0, other["id"]), np.where(end, 0, other["sub"])
-    bucket = deal.bucket(rows["id"], deal.part(rows["sub"], s["size"], s["total"], rows["id2"]))
-    order = np.lexsort((rows["sub2"], rows["id2"], ~rows["end"], rows["sub"], rows["id"], bucket))
+    s, h = state[at], REACH**k
+    left = s["left"].astype(np.int64)
+    rows = np.zeros(len(at), KEY)
+    rows["id"], rows["sub"], rows["n"], rows["total"] = s["id"], s["sub"], 1, s["total"]
+    rows["lines"] = np.minimum(left, REACH * h)  # of equal labels the shorter suffix comes first
+    for i in range(1, REACH):
+        inside = left > i * h
+        other = state[at[inside] + i * h]
+        rows[f"id{i}"][inside], rows[f"sub{i}"][inside] = other["id"], other["sub"]
+    bucket = deal.bucket(rows["id"], deal.part(rows["sub"], s["size"], s["total"], rows["id1"]))
+    order = np.lexsort((*(rows[c] for c in ORDER), bucket))
     r, b = rows[order], bucket[order]
-    cut = starts(b, r["id"], r["sub"], r["end"], r["id2"], r["sub2"])
+    cut = starts(b, *(r[c] for c in ORDER))
     many = sizes(cut, len(r))
     place = np.empty(len(at), np.int64)
     place[order] = np.repeat(np.arange(len(cut)), many)
-    pairs = r[cut].copy()
-    pairs["n"] = many
-    return pairs, b[cut], at, place
+    keys = r[cut].copy()
+    keys["n"] = many
+    return keys, b[cut], at, place
 
 
 class Block:
@@ -364,7 +386,6 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
                 yield one_row(o, b, total[edge[k] : edge[k + 1]].tobytes(), "answer")
 
     start = X.written(step_(at_home(sequences(docs, n)), first_ask), "lines")
-    static = of_kind(start, "static")
     deal = Dealer(n_buckets, of_kind(start, "lines").agg(F.coalesce(F.sum(F.col("hot")[0]), F.lit(0)).alias("n")).first()["n"])
     answers = X.written(X.exchanged(of_kind(start, "ask"), first_answer, ROWS), "totals")
 
@@ -372,15 +393,12 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
 
     def next_ask(home: int, state: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
         """What round k needs of a block: the documents with an active suffix, and its pairs."""
-        if len(state):
-            begin = np.concatenate(([0], np.flatnonzero(state["left"][:-1] == 1) + 1))  # one line is left at an end
-            live = np.add.reduceat(state["active"].astype(np.int64), begin) > 0
-            state = state[np.repeat(live, sizes(begin, len(state)))]
+        state = state[shared(state["active"], state["left"])]
         if not len(state):
             return
         yield one_row(home, LIVE, state.tobytes(), "state")
-        pairs, bucket, _, _ = asked(state, k, deal)
-        yield packed_rows(bucket, pairs, home, "ask")
+        keys, bucket, _, _ = asked(state, k, deal)
+        yield packed_rows(bucket, keys, home, "ask")
 
     def first_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = Block(batches)
@@ -391,20 +409,29 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
         order = np.argsort((ids >> np.uint64(24)).astype(np.int64) % n_buckets, kind="stable")
         total = np.empty(len(ids), np.uint64)
         total[order] = b.answered("<u8")
+        total = total[np.searchsorted(ids, rows["id"])]
+        keep = shared(total > 1, lines_left(rows))  # no other document matters any more
+        rows, total = rows[keep], total[keep]
+        if len(rows):
+            yield one_row(b.home, STATIC, rows.tobytes(), "static")
         state = np.empty(len(rows), STATE)
         state["row"], state["left"], state["id"], state["sub"] = np.arange(len(rows)), lines_left(rows), rows["id"], 0
-        state["size"] = state["total"] = total[np.searchsorted(ids, rows["id"])]
-        state["active"] = state["size"] > 1
+        state["size"] = state["total"] = total
+        state["active"] = total > 1
         yield from next_ask(b.home, state, 0)
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """New labels of the pairs, in the order of the question; notes on the parts of hot lines."""
+    def refining(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return named(lambda batches: refine(batches, reach), f"refine_{reach}")
+
+    def refine(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+        """New labels of the keys, in the order of the question; notes on the parts of hot lines, and on what stays
+        active: labels that several suffixes share which have not ended within `reach` lines."""
         for b, origins, payloads in X.by_bucket(batches):
-            parts = [np.frombuffer(p, PAIR) for p in payloads]
+            parts = [np.frombuffer(p, KEY) for p in payloads]
             every = np.concatenate(parts)
-            order = np.lexsort((every["sub2"], every["id2"], ~every["end"], every["sub"], every["id"]))
+            order = np.lexsort([every[c] for c in ORDER])
             r = every[order]
-            cut = starts(r["id"], r["sub"], r["end"], r["id2"], r["sub2"])
+            cut = starts(*(r[c] for c in ORDER))
             many, head = np.add.reduceat(r["n"].astype(np.int64), cut), r[cut]
             group = starts(head["id"], head["sub"])
             before = np.cumsum(many) - many
@@ -414,6 +441,9 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
             edge = np.cumsum([0, *map(len, parts)])
             for k, o in enumerate(origins):
                 yield one_row(o, b, out[edge[k] : edge[k + 1]].tobytes(), "answer")
+            more = int(many[(many > 1) & (head["lines"] >= reach)].sum())
+            if more:
+                yield note([more], "active")
             label, count = head[group], np.add.reduceat(many, group)
             line = np.append(starts(label["id"]), len(label))
             for i in np.flatnonzero(deal.hot(label["total"][line[:-1]])).tolist():
@@ -426,41 +456,42 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
             if LIVE not in b.held:
                 return
             state = b.rows(LIVE, STATE).copy()
-            pairs, _, at, place = asked(state, k, deal)
+            keys, _, at, place = asked(state, k, deal)
             got = b.answered(REFINED)[place]
             sub = got["sub"].copy()
             if carried:
                 old = state[at]
-                part = deal.part(old["sub"], old["size"], old["total"], pairs["id2"][place])
+                part = deal.part(old["sub"], old["size"], old["total"], keys["id1"][place])
                 ids = old["id"].view(np.int64) if old["id"].flags.c_contiguous else np.ascontiguousarray(old["id"]).view(np.int64)
                 for i in np.flatnonzero(deal.hot(old["total"])).tolist():
                     first, many = carried.get((int(ids[i]), int(part[i])), (-1, 0))
                     if first == int(old["sub"][i]):
                         sub[i] += np.uint64(many)
             state["sub"][at], state["size"][at] = sub, got["size"]
-            state["active"][at] = (got["size"] > 1) & ~pairs["end"][place]
+            state["active"][at] = (got["size"] > 1) & (state["left"][at] >= REACH ** (k + 1))
             quiet = state[at[~state["active"][at]]]
             if len(quiet):
                 done_ = np.empty(len(quiet), SETTLED)
-                done_["row"], done_["sub"], done_["total"], done_["depth"] = quiet["row"], quiet["sub"], quiet["total"], 2 << k
+                done_["row"], done_["sub"], done_["total"], done_["depth"] = quiet["row"], quiet["sub"], quiet["total"], REACH ** (k + 1)
                 yield one_row(b.home, DONE, done_.tobytes(), "done")
             yield from next_ask(b.home, state, k + 1)
 
-        return run
+        return named(run, f"refined_{k}")
 
-    done, now = [], X.written(step_(at_home(static, answers), first_state), "round")
-    X.dropped(answers)
+    now = X.written(step_(at_home(of_kind(start, "static"), answers), first_state), "round")
+    X.dropped(start, answers)
+    rounds, static = [now], of_kind(now, "static")
     for k in range(ROUNDS):
-        if not of_kind(now, "ask").limit(1).count():
+        answers = X.written(X.exchanged(of_kind(now, "ask"), refining(REACH ** (k + 1)), ROWS), "labels")
+        notes = answers.filter("kind in ('note', 'active')").select("kind", "hot").collect()
+        now = X.written(step_(at_home(of_kind(now, "state"), of_kind(answers, "answer")), refined(k, carries([r["hot"] for r in notes if r["kind"] == "note"]))), "round")
+        X.dropped(answers)
+        rounds.append(now)
+        if all(r["kind"] == "note" for r in notes):
             break
-        answers = X.written(X.exchanged(of_kind(now, "ask"), refine, ROWS), "labels")
-        after = X.written(step_(at_home(of_kind(now, "state"), of_kind(answers, "answer")), refined(k, carries(said(answers)))), "round")
-        X.dropped(answers, now)
-        done.append(X.written(of_kind(after, "done"), "settled"))
-        now = after
     else:
         raise RuntimeError("more doubling rounds than a document can have lines")
-    X.dropped(now)
+    done = [of_kind(r, "done") for r in rounds[1:]]
 
     # neighbours and common prefixes
 
@@ -604,7 +635,7 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
                 for k, o in enumerate(homes):
                     yield one_row(o, b, out[edge[k] : edge[k + 1]].tobytes(), "answer")
 
-        return run
+        return named(run, "decide_between_parts" if before or after else "decide")
 
     every = lambda kind: of_kind(suffixes, kind).unionByName(of_kind(prefixes, kind))
     longest = X.exchanged(every("cold"), deciding({}, {}), ROWS)
@@ -640,7 +671,7 @@ def gone_lines(docs: DataFrame, min_words: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b.home], pa.int32()), pa.array([-1], pa.int64()), pa.array([got.tobytes()], pa.binary())], names=_NAMES[:3])
 
     out = X.written(step_(at_home(static, *done, longest), cut, X.PACKED), "gone")
-    X.dropped(start, suffixes, prefixes, longest, *done)
+    X.dropped(*rounds, suffixes, prefixes, longest)
     return out
 
 

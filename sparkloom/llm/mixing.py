@@ -8,13 +8,16 @@ number of copies) by projected-gradient least squares: minimise
 
 over rates >= floor, where a domain's expected tokens are the sum of rate * tokens * posterior and the
 spread is the token-weighted mean of (rate - 1)**2: of all mixes that meet the targets the nearest to the
-input. Each step is one map-side combined aggregation to as many numbers as domains; the rates
-themselves stay where the documents are. A document is then repeated floor(rate + u) times, with u
+input. A step takes the gradient at a point ahead of the rates (Nesterov's momentum, begun anew where it turns against
+the gradient), moves all rates against it and cuts them at the floor. What a step needs from the whole corpus is as many
+numbers as domains, one map-side combined aggregation; a document's rate follows from its posterior and the steps so
+far, so rates are never stored or moved. Steps end when no rate would move by more than TOLERANCE; if that isn't
+reached in STEPS steps, `solve` raises. A document is then repeated floor(rate + u) times, with u
 drawn from a hash of its id and text.
 
 Defined cases: null or empty text has no tokens and rate 1; a null doc_id takes part, unlabelled; rows
 that repeat a doc_id share its label; targets need not add up to one; a domain without documents can't
-be met and keeps its residual; an empty table gives no rows; other columns pass through `mixed`.
+be met and keeps its residual; an empty table gives no rows; other columns pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +36,9 @@ SAMPLE = 6000
 DIM_BITS = 16
 RIDGE = 1e-4
 FLOOR = 0.0
-STEPS = 60
-#: The ridge is lowered to RIDGE by tens from 10 ** (LEVELS - 1) times as much.
-LEVELS = 4
-TOLERANCE = 1e-5
+STEPS = 1000
+#: The largest move of a rate, relative to the step's length, at which the steps end.
+TOLERANCE = 3e-5
 DRAW = 1 << 30
 
 
@@ -136,64 +138,83 @@ def memberships(docs: DataFrame, model: Model, text: str = "text", key: str = "d
     return plain.mapInArrow(X.trimmed(run), "doc_id long, at long, tokens long" + "".join(f", p{i} double" for i in range(k)))
 
 
-def rate(shifts: np.ndarray, floor: float):
-    """A document's rate: its gradient steps add up to one shift a domain, so rates needn't be stored."""
-    return F.greatest(F.lit(1.0) + sum((F.col(f"p{i}") * float(v) for i, v in enumerate(shifts)), F.lit(0.0)), F.lit(float(floor)))
+class Steps:
+    """The steps so far: of each its length, the momentum before it, and the pull of each domain."""
+
+    def __init__(self, floor: float, ridge: float):
+        self.floor, self.ridge, self.taken = floor, ridge, []
+
+    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates of documents with these posteriors: after the last step, before it, and where that step set out."""
+        now = old = ahead = np.full(len(p), max(1.0, self.floor))
+        for length, momentum, pull in self.taken:
+            ahead = now + momentum * (now - old)
+            old, now = now, np.maximum(self.floor, ahead - length * (p @ pull + self.ridge * (ahead - 1)))
+        return now, old, ahead
 
 
 class Fit:
-    """Shifts, the expected tokens by domain, their targets, and the steps that were taken."""
+    """Steps, the expected tokens by domain, their targets, the total, and how many steps it took."""
+
+    def __init__(self, names, steps, reached, goal, total):
+        self.names, self.steps, self.reached, self.goal, self.total = names, steps, reached, goal, total
 
-    def __init__(self, names, shifts, reached, goal, total, steps):
-        self.names, self.shifts, self.reached, self.goal, self.total, self.steps = names, shifts, reached, goal, total, steps
+    @property
+    def residual(self) -> float:
+        """The largest share of all tokens by which a domain misses its target."""
+        return float(np.abs(self.reached - self.goal).max() / self.total) if self.total else 0.0
+
+
+def sums(rows: DataFrame, k: int, f) -> np.ndarray:
+    """The sum over all rows of `f(tokens, posteriors)`, an array of numbers of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                t = batch.column(0).to_numpy().astype(np.float64)
+                p = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], axis=1)
+                got = f(t, p)
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    # in the order of the parts, so that the sum is the same each time
+    parts = rows.select("tokens", *(f"p{i}" for i in range(k))).mapInArrow(X.trimmed(run), "s array<double>").collect()  # a row a task
+    return np.sum([r["s"] for r in parts], axis=0) if parts else np.zeros(0)
 
 
 def solve(rows: DataFrame, names: list[str], targets: dict[str, float], floor: float = FLOOR, scale: float = 1.0, ridge: float = RIDGE, steps: int = STEPS) -> Fit:
-    """Projected gradient descent on the rates, in the metric of tokens.
-
-    At the optimum r = max(floor, 1 + sum of shift * posterior), and each step moves the shifts against the
-    gradient, so a task needs the shifts alone. A step is scaled by the inverse of the K x K curvature over
-    the documents that the projection leaves free, and halved while the dual objective would grow; the
-    ridge comes down by steps, which keeps this steady where the targets can't all be met. `scale` is the
-    mix's size over the input's.
-    """
+    """Projected gradient descent on the rates, in the metric of tokens: the gradient of a document's rate is its
+    posterior's product with the domains' excess shares, and the ridge's pull to 1. `scale` is the mix's size over the
+    input's."""
     k = len(names)
     share = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
     share = scale * (share / share.sum() if share.sum() else np.full(k, 1 / k))
-    shifts, size, best, levels = np.zeros(k), 1.0, None, [ridge * 10**i for i in range(LEVELS)]
-    for step in range(steps):
-        pull_back = levels[-1]
-        z, r = rate(shifts, -1e300), rate(shifts, floor)
-        own = [F.col("tokens") * F.col(f"p{i}") for i in range(k)]
-        dual = F.when(z >= floor, z * z / 2).otherwise(z * float(floor) - float(floor) ** 2 / 2)
-        got = rows.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * dual).alias("d"), *(F.sum(r * own[i]).alias(f"a{i}") for i in range(k)), *(F.sum(F.when(z >= floor, own[i] * F.col(f"p{j}"))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        total = float(got["t"] or 0)
-        if not total:
-            return Fit(names, shifts, np.zeros(k), share * 0, 0.0, step)
-        reached = np.array([got[f"a{i}"] for i in range(k)], float) / total
-        value = float(got["d"]) / total - share @ shifts + pull_back / 2 * shifts @ shifts
-        if best is not None and value > best[0] + 1e-12:
-            size /= 2
-            shifts = best[1] - size * best[3]
-            continue
-        h = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                h[i, j] = h[j, i] = float(got[f"h{i}_{j}"] or 0.0) / total
-        pull = reached - share + pull_back * shifts
-        if np.abs(pull).max() < max(TOLERANCE, pull_back * (0.05 if len(levels) > 1 else 0.0)):
-            if len(levels) == 1:
-                break
-            levels.pop()
-            pull_back = levels[-1]
-            pull = reached - share + pull_back * shifts
-            value = float(got["d"]) / total - share @ shifts + pull_back / 2 * shifts @ shifts
-        move = np.linalg.solve(h + pull_back * np.eye(k), pull)
-        best, size = (value, shifts, reached, move), min(1.0, 4 * size)
-        shifts = shifts - size * move
-    if best is None or value <= best[0] + 1e-12:
-        best = (value, shifts, reached, None)
-    return Fit(names, best[1], best[2] * total, share * total, total, step)
+    first = sums(rows, k, lambda t, p: np.concatenate(([t.sum()], np.einsum("n,ni,nj->ij", t, p, p).ravel())))
+    done = Steps(floor, ridge)
+    if not len(first) or not first[0]:
+        return Fit(names, done, np.zeros(k), share * 0, 0.0)
+    total = first[0]
+    # the gradient's Lipschitz constant: the largest curvature over all mixes
+    length = 1 / (np.linalg.eigvalsh(first[1:].reshape(k, k) / total).max() + ridge)
+
+    def look(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected tokens now and before the last step; how far that step went, and whether it turned back."""
+        now, old, ahead = done.rates(p)
+        return np.concatenate(((t * now) @ p, (t * old) @ p, [t @ (now - ahead) ** 2, t @ ((ahead - now) * (now - old))]))
+
+    age = 1.0
+    for _ in range(steps):
+        got = sums(rows, k, look) / total
+        now, old = got[:k], got[k : 2 * k]
+        if done.taken and got[-2] <= (TOLERANCE * length) ** 2:
+            return Fit(names, done, now * total, share * total, total)
+        older, age = age, 1.0 if got[-1] > 0 else (1 + np.sqrt(1 + 4 * age**2)) / 2
+        momentum = 0.0 if age == 1.0 else (older - 1) / age
+        # expected tokens are linear in the rates
+        done.taken.append((length, momentum, now + momentum * (now - old) - share))
+    raise RuntimeError(f"the rates did not settle in {steps} steps; the last moved them by {np.sqrt(got[-2]):.3g}")
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", floor: float = FLOOR, scale: float = 1.0) -> tuple[DataFrame, Fit]:
@@ -201,34 +222,53 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text: st
     names = sorted(targets)
     rows = X.written(memberships(docs, fit(docs, domains, names, text, key), text, key), "members")
     found = solve(rows, names, targets, floor, scale)
+    k = len(names)
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([batch.column(3 + i).to_numpy() for i in range(k)], axis=1)
+            r = np.where(batch.column(2).to_numpy() == 0, 1.0, found.steps.rates(p)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
+
     u = F.pmod(F.xxhash64("at"), F.lit(DRAW)) / DRAW
-    r = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(rate(found.shifts, floor))
-    out = rows.withColumn("rate", r).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    out = rows.mapInArrow(X.trimmed(rated), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", rate double").withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
     return out, found
 
 
-def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", floor: float = FLOOR, scale: float = 1.0) -> DataFrame:
+def reach(rows: DataFrame, names: list[str], targets: dict[str, float]) -> float:
+    """The least size of the mix, over the input's, at which no domain has more tokens than its target."""
+    got = sums(rows, len(names), lambda t, p: np.concatenate(([t.sum()], t @ p)))
+    if not len(got) or not got[0]:
+        return 1.0
+    total = sum(max(0.0, targets.get(n, 0.0)) for n in names)
+    return max([1.0, *(got[1 + i] / got[0] / (targets[n] / total) for i, n in enumerate(names) if targets.get(n, 0.0) > 0)])
+
+
+def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", floor: float = FLOOR, scale: float | None = 1.0) -> DataFrame:
     """The rows of `docs`, each as often as its rate says. Rates come from the text again, so no text is
-    moved to meet its rate."""
+    moved to meet its rate. Without a `scale` the mix is as large as it must be for targets to be met by repeating
+    alone."""
     names = sorted(targets)
     model = fit(docs, domains, names, text, key)
-    shifts = solve(X.written(memberships(docs, model, text, key), "members"), names, targets, floor, scale).shifts
-    held = docs.sparkSession.sparkContext.broadcast((model, shifts))
-
-    @F.pandas_udf("double")
-    def own(texts):
-        import pandas as pd
-
-        model_, move = held.value
-        data, offs = T.column(pa.array(texts, pa.string(), from_pandas=True))
-        out = []
-        for _, _, d, o in T.chunks(data, offs):
-            idx, before = features(d, o)
-            r = np.maximum(floor, 1 + model_.posterior(idx, before) @ move)
-            out.append(np.where(np.diff(before) == 0, 1.0, r))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
+    rows = X.written(memberships(docs, model, text, key), "members")
+    steps = solve(rows, names, targets, floor, reach(rows, names, targets) if scale is None else scale).steps
+    X.dropped(rows)
+    held = docs.sparkSession.sparkContext.broadcast((model, steps))
+    width = len(docs.columns)
     u = F.pmod(F.xxhash64(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))), F.lit(DRAW)) / DRAW
-    times = F.floor(own(F.col(text).cast("string")) + u).cast("int")
-    put = docs.withColumn("__times", times).filter("__times > 0")
-    return put.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy")
+    put = docs.select("*", F.col(text).cast("string").alias(X.unused(docs, "text_")), u.alias(X.unused(docs, "draw")))
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_, steps_ = held.value
+        for batch in batches:
+            data, offs = T.column(batch.column(width))
+            draw = batch.column(width + 1).to_numpy()
+            for a, z, d, o in T.chunks(data, offs):
+                idx, before = features(d, o)
+                r = np.where(np.diff(before) == 0, 1.0, steps_.rates(model_.posterior(idx, before))[0])
+                times = np.floor(r + draw[a:z]).astype(np.int64)
+                part = batch.slice(a, z - a).select(list(range(width)))
+                for i in range(0, int(times.max(initial=0))):  # the rows that occur more than i times
+                    yield part.filter(pa.array(times > i))
+
+    return put.mapInArrow(X.trimmed(repeat), docs.schema)

@@ -1,16 +1,23 @@
 """Quality rules: text statistics, hard base rules, and robust multivariate outliers.
 
-Statistics are taken over whole texts. For each (language, source) the minimum covariance determinant
-is approached by concentration steps: starting from medians and spreads, the half of the documents that
-lies nearest (by Mahalanobis distance) gives the next mean and covariance. A document is rejected when
-its distance under its group's last estimate exceeds a chi-square quantile. Nearest halves are found
-from counts and moments by distance bin, so a step is one map-side combined aggregation whatever the
-size of a group; a third of all rows in one source costs no more than as many in many.
+Statistics are taken over whole texts. For each (language, source) the minimum covariance determinant is sought:
+of all halves of the good documents (floor((n + p + 1) / 2) of them) the one whose covariance has the least
+determinant. Four deterministic starts (spreads alone, and the covariances of winsorised, of squashed and of
+unit-length deviations from the medians) take two concentration steps each: the half that lies nearest by
+Mahalanobis distance gives the next mean and covariance, and the determinant never grows. The start with the least
+determinant then goes on until its determinant stays. A document is rejected when its distance exceeds a chi-square
+quantile.
+
+A step is two map-side combined aggregations whatever the size of a group: counts by distance bin find the half, and
+moments are summed inside it (the last bin by the share that is still needed). Medians and quartiles come from counts
+by rounded value, so nothing depends on how rows are partitioned.
+
+Each group's estimate is drawn to its language's as PRIOR documents would, and that to the estimate over all: a group of
+a few documents has nearly its parent's, a large one its own, without a size at which this changes.
 
 Defined cases: null text has no words and fails the base rules; null language or source is a group of
-its own; a group with fewer than MIN_GROUP good documents uses its language's estimate, a smaller
-language the estimate over all; equal documents get equal verdicts within a group; an empty table
-gives no rows; further columns are ignored.
+its own; a group without good documents has no estimate and needs none; equal documents get equal verdicts within a
+group; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exchange as X
@@ -31,11 +38,16 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 64
-HALF = 0.6
-STEPS = 4
+#: Documents that a group's parent weighs as in the group's estimate.
+PRIOR = 32.0
+FIRST_STEPS = 2
+#: Further steps at most; each one only lowers the determinant, and they end when no logarithm moves by more than SETTLED.
+STEPS = 30
+SETTLED = 1e-6
 TAIL = 1e-6
-BINS_PER_OCTAVE = 16
+BINS_PER_OCTAVE = 64
+#: Medians and quartiles are of values rounded to so many parts of one.
+GRAIN = 10_000
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 #: Transformed statistics and the least standard deviation each is given, so that a statistic which
@@ -120,97 +132,187 @@ def chi_square_quantile(p: int, tail: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
-def distance(center: str = "center", inverse: str = "inverse") -> Column:
-    """Squared Mahalanobis distance of the row's statistics, from array columns."""
-    p = len(NAMES)
-    d = [F.col(x) - F.col(center)[i] for i, x in enumerate(NAMES)]
+def _chi_cdf(p: int, x: float) -> float:
+    from statistics import NormalDist
+
+    return NormalDist().cdf(((x / p) ** (1 / 3) - (1 - 2 / (9 * p))) / math.sqrt(2 / (9 * p)))
+
+
+def consistency(p: int, share: float) -> float:
+    """What the covariance of the nearest share of a normal sample falls short by."""
+    return 1.0 if share >= 1 else share / max(1e-3, _chi_cdf(p + 2, chi_square_quantile(p, 1 - share)))
+
+
+P = len(NAMES)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+FLOORS = np.array([TRANSFORMED[x][1] for x in NAMES])
+ESTIMATE = "group long, start int, n double, center array<double>, cov array<double>, inverse array<double>, logdet double"
+
+
+def distance(x: str = "x", center: str = "center", inverse: str = "inverse") -> Column:
+    """Squared Mahalanobis distance, from array columns."""
+    d = [F.col(x)[i] - F.col(center)[i] for i in range(P)]
     out = F.lit(0.0)
-    for i in range(p):
-        for j in range(i, p):
-            out = out + (1.0 if i == j else 2.0) * d[i] * d[j] * F.col(inverse)[i * p + j]
+    for i, j in PAIRS:
+        out = out + (1.0 if i == j else 2.0) * d[i] * d[j] * F.col(inverse)[i * P + j]
     return F.greatest(out, F.lit(0.0))
 
 
-def estimate(moments, floors: np.ndarray, share: float) -> tuple[list[float], list[float], float]:
-    """Center, inverse covariance and log determinant from (n, sums, products)."""
-    n, sums, prods = moments
-    p = len(floors)
-    mean = sums / n
-    cov = prods / n - np.outer(mean, mean)
-    if share < 1:  # the nearest part of a normal sample has less spread: consistency factor
-        q = chi_square_quantile(p, 1 - share)
-        cov = cov * (share / max(1e-3, _chi_cdf(p + 2, q)))
-    cov = cov + np.diag(np.maximum(0, floors**2 - np.diag(cov)))
-    return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+def moments(x: str, weight: Column) -> list[Column]:
+    """One array: weight, weighted sums and products."""
+    v = [F.col(x)[i] for i in range(P)]
+    return [F.array(F.sum(weight), *(F.sum(weight * v[i]) for i in range(P)), *(F.sum(weight * v[i] * v[j]) for i, j in PAIRS)).alias("m")]
 
 
-def _chi_cdf(p: int, x: float) -> float:
-    from statistics import NormalDist
+def solved(m: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Centers, covariances (no spread under its floor), inverses and log determinants of rows of moments."""
+    w = np.maximum(m[:, :1], 1e-12)
+    center = m[:, 1 : 1 + P] / w
+    cov = np.zeros((len(m), P, P))
+    for k, (i, j) in enumerate(PAIRS):
+        cov[:, i, j] = cov[:, j, i] = m[:, 1 + P + k] / w[:, 0] - center[:, i] * center[:, j]
+    cov *= np.array([consistency(P, s) for s in share])[:, None, None]
+    own = np.einsum("kii->ki", cov)
+    own += np.maximum(0.0, FLOORS**2 - own)
+    return center, cov, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
 
-    return NormalDist().cdf(((x / p) ** (1 / 3) - (1 - 2 / (9 * p))) / math.sqrt(2 / (9 * p)))
 
+def estimates(rows: DataFrame, name: str) -> DataFrame:
+    """ESTIMATE of rows of group, start, n (documents of the group) and moments m, written."""
 
-def fit(points: DataFrame, levels: list[str]) -> DataFrame:
-    """(group, n, center, inverse) of each group of the column `group`, by concentration steps.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy()
+            m = np.array(batch.column(3).to_pylist(), float).reshape(len(n), -1)
+            center, cov, inverse, logdet = solved(m, m[:, 0] / n)
+            rows_ = lambda a: pa.array(a.reshape(len(n), -1).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), rows_(center), rows_(cov), rows_(inverse), pa.array(logdet)], names=[x.split(" ")[0] for x in ESTIMATE.split(", ")])
+
+    return X.written(rows.select("group", F.col("start").cast("int"), F.col("n").cast("double"), "m").mapInArrow(X.trimmed(run), ESTIMATE), name)
+
+
+def concentrated(points: DataFrame, now: DataFrame) -> DataFrame:
+    """One concentration step: the moments of each estimate's nearest half, solved."""
+    binned = points.join(now.select("group", "start", "n", "center", "inverse"), "group").withColumn("bin", F.floor(F.log2(distance() + 1e-9) * BINS_PER_OCTAVE).cast("int"))
+    counts = binned.groupBy("group", "start", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    half = F.floor((F.col("n") + P + 1) / 2)
+    half = F.least(half, F.col("n"))
+    upto = F.sum("k").over(Window.partitionBy("group", "start").orderBy("bin"))  # at most a few thousand bins each
+    edge = counts.withColumn("upto", upto).filter((F.col("upto") >= half) & (F.col("upto") - F.col("k") < half))
+    edge = edge.select("group", "start", F.col("bin").alias("last"), ((half - (F.col("upto") - F.col("k"))) / F.col("k")).alias("part"))
+    reach = X.written(now.select("group", "start", "n", "center", "inverse").join(edge, ["group", "start"]), "mcd_reach")
+    placed = points.join(reach, "group").withColumn("bin", F.floor(F.log2(distance() + 1e-9) * BINS_PER_OCTAVE).cast("int")).filter("bin <= last")
+    weight = F.when(F.col("bin") < F.col("last"), F.lit(1.0)).otherwise(F.col("part"))
+    out = estimates(placed.groupBy("group", "start").agg(F.first("n").alias("n"), *moments("x", weight)).select("group", "start", "n", "m"), "mcd")
+    X.dropped(reach)
+    return out
 
-    Between steps only each group's estimate moves: as many rows as there are groups. They are kept as
-    a table and joined, so no number of groups has to fit the driver or a broadcast.
+
+def first_estimates(points: DataFrame) -> DataFrame:
+    """The four starts of each group, from exact medians and quartiles of rounded values."""
+    long = points.select("group", F.posexplode("x").alias("i", "v")).groupBy("group", "i", F.round(F.col("v") * GRAIN).cast("long").alias("v")).agg(F.count("*").alias("k"))
+    by = Window.partitionBy("group", "i").orderBy("v")
+    ranked = long.withColumn("upto", F.sum("k").over(by)).withColumn("n", F.sum("k").over(Window.partitionBy("group", "i")))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("v"))) / float(GRAIN)
+    quart = ranked.groupBy("group", "i").agg(F.max("n").alias("n"), at(0.25).alias("a"), at(0.5).alias("b"), at(0.75).alias("c"))
+    floor = F.element_at(F.array(*(F.lit(float(f)) for f in FLOORS)), F.col("i") + 1)
+    one = quart.select("group", "n", "i", "b", F.greatest((F.col("c") - F.col("a")) / 1.349, floor).alias("s"))
+    pick = lambda c: F.array(*(F.max(F.when(F.col("i") == i, F.col(c))) for i in range(P))).alias(c)
+    unit = X.written(one.groupBy("group").agg(F.max("n").alias("n"), pick("b"), pick("s")), "mcd_units")
+    z = [(F.col("x")[i] - F.col("b")[i]) / F.col("s")[i] for i in range(P)]
+    norm = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
+    bent = [F.array(*(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), v)) for v in z)), F.array(*(F.tanh(v) for v in z)), F.array(*(v / norm * float(np.sqrt(P)) for v in z))]
+    shapes = points.join(unit, "group").select("group", "n", "b", "s", F.posexplode(F.array(*bent)).alias("start", "y"))
+    got = shapes.groupBy("group", "start").agg(F.first("n").alias("n"), F.first("b").alias("b"), F.first("s").alias("s"), *moments("y", F.lit(1.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for r in rows:
+                m, s = np.array(r["m"]), np.array(r["s"])
+                w = m[0]
+                cov = np.zeros((P, P))
+                for k, (i, j) in enumerate(PAIRS):
+                    cov[i, j] = cov[j, i] = m[1 + P + k] / w  # about the median
+                d = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+                cor = 0.999 * cov / np.outer(d, d) + 0.001 * np.eye(P)
+                np.fill_diagonal(cor, 1.0)
+                for start, c in ((r["start"] + 1, cor), *([(0, np.eye(P))] if r["start"] == 0 else [])):
+                    full = c * np.outer(s, s)
+                    out.append({"group": r["group"], "start": start, "n": float(r["n"]), "center": r["b"], "cov": full.ravel().tolist(), "inverse": np.linalg.inv(full).ravel().tolist(), "logdet": float(np.linalg.slogdet(full)[1])})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group", pa.int64()), ("start", pa.int32()), ("n", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("center", "cov", "inverse")), ("logdet", pa.float64())]))
+
+    return X.written(got.select("group", "start", "n", "b", "s", "m").mapInArrow(X.trimmed(run), ESTIMATE), "mcd")
+
+
+def fit(points: DataFrame) -> DataFrame:
+    """ESTIMATE of each group of `points` (group long, x array<double>): the minimum covariance determinant.
+
+    Between steps only the estimates move: as many rows as groups (four times as many at first). They are kept as a
+    table and joined, so no number of groups has to fit the driver or a broadcast.
     """
-    p = len(NAMES)
-    floors = np.array([TRANSFORMED[x][1] for x in NAMES])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in pairs)]
-    packed = F.array("n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs)).alias("m")
-
-    def solve(share: float):
-        def run(pdf):
-            import pandas as pd
-
-            pdf = pdf.sort_values("bin")
-            m = np.stack(pdf["m"].to_list())
-            n = m[:, 0].cumsum()
-            used = int(np.searchsorted(n, share * n[-1] - 1e-9)) + 1 if share < 1 else len(n)
-            t = m[:used].sum(0)
-            prods = np.zeros((p, p))
-            for k, (i, j) in enumerate(pairs):
-                prods[i, j] = prods[j, i] = t[1 + p + k]
-            center, inverse, _ = estimate((t[0], t[1 : 1 + p], prods), floors, t[0] / n[-1])
-            return pd.DataFrame({"group": [pdf["group"].iloc[0]], "n": [int(n[-1])], "center": [center], "inverse": [inverse]})
-
-        return run
-
-    schema = "group string, n long, center array<double>, inverse array<double>"
-    medians = points.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES), *(F.stddev_pop(x).alias(f"d_{x}") for x in NAMES))
-    unit = [F.greatest(F.coalesce(F.col(f"d_{x}"), F.lit(0.0)), F.lit(float(f))) for x, f in zip(NAMES, floors, strict=True)]
-    now = X.written(medians.select("group", F.array(*(f"m_{x}" for x in NAMES)).alias("center"), F.array(*((1 / (unit[i] * unit[i]) if i == j else F.lit(0.0)) for i in range(p) for j in range(p))).alias("inverse")), "mcd")  # of known size, so that the join sends it to the rows
+    now = first_estimates(points)
+    for _ in range(FIRST_STEPS):
+        old, now = now, concentrated(points, now)
+        X.dropped(old)
+    best = now.groupBy("group").agg(F.min_by(F.struct("start", "n", "center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
+    old, now = now, X.written(best, "mcd")
+    X.dropped(old)
     for _ in range(STEPS):
-        binned = points.join(now.select("group", "center", "inverse"), "group").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * BINS_PER_OCTAVE).cast("int"))
-        m = binned.groupBy("group", "bin").agg(*sums).select("group", "bin", packed)
-        now = X.written(m.groupBy("group").applyInPandas(solve(HALF), schema), "mcd")
+        after = concentrated(points, now)
+        # a step that can't lower the determinant is not taken
+        pair = now.alias("a").join(after.alias("b"), "group")
+        better = F.col("b.logdet") < F.col("a.logdet")
+        moved = pair.agg(F.max(F.col("a.logdet") - F.col("b.logdet")).alias("d")).first()["d"]
+        kept = X.written(pair.select("group", *(F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in now.columns[1:])), "mcd")
+        X.dropped(now, after)
+        now = kept
+        if moved is None or moved <= SETTLED:
+            break
     return now
 
 
+def drawn_to(model: DataFrame, cells: DataFrame, levels: int) -> DataFrame:
+    """(group, center, inverse) of the finest groups, each drawn to its parent. `cells`: g0, g1, ... of each finest group."""
+    out = cells
+    for k in range(levels):
+        own = model.select(F.col("group").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("center").alias(f"c{k}"), F.col("cov").alias(f"v{k}"))
+        out = out.join(own, f"g{k}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: np.array(batch.column(batch.schema.names.index(c)).to_pylist(), float).reshape(batch.num_rows, -1)  # noqa: B023, E731
+            center, cov = get("c0"), get("v0")
+            for k in range(1, levels):
+                w = get(f"n{k}") / (get(f"n{k}") + PRIOR)
+                center, cov = w * get(f"c{k}") + (1 - w) * center, w * get(f"v{k}") + (1 - w) * cov
+            inverse = np.linalg.inv(cov.reshape(-1, P, P)).reshape(len(cov), -1)
+            rows = lambda a: pa.array(a.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(f"g{levels - 1}")), rows(center), rows(inverse)], names=["group", "center", "inverse"])
+
+    return X.written(out.mapInArrow(X.trimmed(run), "group long, center array<double>, inverse array<double>"), "mcd")
+
+
 def outliers(stats: DataFrame, levels: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """`stats` with base_failed, distance2 and kept."""
-    p = len(NAMES)
-    name = lambda k: F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in levels[:k])))
-    stats = X.written(stats.withColumn("base_failed", base_failed()).withColumns({x: f().cast("double") for x, (f, _) in TRANSFORMED.items()}), "stats")
-    points = stats.filter(~F.col("base_failed"))
-    cells = [points.select(name(k).alias("group"), *NAMES) for k in range(len(levels) + 1)]
-    every = cells[0]
-    for c in cells[1:]:
-        every = every.unionByName(c)
-    model = fit(every, list(levels)).withColumn("size", F.col("n"))
-    cut = chi_square_quantile(p, TAIL)
-    out = stats
-    for k in range(len(levels), -1, -1):
-        own = model.filter((F.col("n") >= MIN_GROUP) | F.lit(k == 0)).select(F.col("group").alias(f"g{k}"), F.col("center").alias(f"c{k}"), F.col("inverse").alias(f"i{k}"))
-        out = out.withColumn(f"g{k}", name(k)).join(own, f"g{k}", "left")
-    pick = lambda c: F.coalesce(*(F.col(f"{c}{k}") for k in range(len(levels), -1, -1)))
-    out = out.withColumn("center", pick("c")).withColumn("inverse", pick("i"))
+    name = lambda k: F.xxhash64(F.lit(k), *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in levels[:k]))
+    depth = len(levels) + 1
+    put = stats.withColumn("base_failed", base_failed()).withColumn("x", F.array(*(f().cast("double") for f, _ in TRANSFORMED.values()))).withColumns({f"g{k}": name(k) for k in range(depth)})
+    stats = X.written(put, "stats")
+    good = stats.filter(~F.col("base_failed"))
+    points = good.select("x", F.explode(F.array(*(f"g{k}" for k in range(depth)))).alias("group"))
+    cells = good.select(*(f"g{k}" for k in range(depth))).distinct()
+    own = drawn_to(fit(points), cells, depth)
+    out = stats.join(own.withColumnRenamed("group", f"g{depth - 1}"), f"g{depth - 1}", "left")
+    # a document that failed the base rules may be of a group without an estimate
     out = out.withColumn("distance2", F.when(F.col("center").isNotNull(), distance()))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cut))
-    return out.drop(*(f"{c}{k}" for c in "gci" for k in range(len(levels) + 1)), "center", "inverse")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi_square_quantile(P, TAIL)))
+    return out.drop("center", "inverse", "x", *(f"g{k}" for k in range(depth)))
 
 
 def quality_rules(docs: DataFrame, levels: tuple[str, ...] = ("lang", "source")) -> DataFrame:

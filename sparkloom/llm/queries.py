@@ -72,8 +72,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.mixing import mix
 
     docs = table(spark, sf_dir, "documents")
-    out, _ = mix(docs, domains(spark, sf_dir, docs), TARGETS)
-    return out.select("doc_id", "tokens", *(F.round(f"p{i}", 6).alias(f"p_{n}") for i, n in enumerate(sorted(TARGETS))), F.round("rate", 6).alias("rate"), "copies")
+    out, found = mix(docs, domains(spark, sf_dir, docs), TARGETS)
+    return out.select("doc_id", "tokens", *(F.round(f"p{i}", 6).alias(f"p_{n}") for i, n in enumerate(sorted(TARGETS))), F.round("rate", 4).alias("rate"), "copies", F.lit(round(found.residual, 4)).alias("residual"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,50 +99,93 @@ PAGE_ROW = 24  # 576 = 24 * 24
 
 
 def tiff_of(payload: bytes) -> bytes:
-    """A payload of whole 576-byte squares as pages: the first square LZW in strips, a second PackBits
-    in tiles, what follows deflate in strips, the last two with the differencing predictor."""
+    """A payload of whole 576-byte squares as at most three pages of like size: LZW in strips, PackBits in tiles with the
+    differencing predictor, deflate in strips with the predictor. Which comes first is by the payload's CRC-32, so that
+    each codec gets a like share of short texts too."""
     from sparkloom.llm import tiff
 
     a = np.frombuffer(payload, np.uint8).reshape(-1, PAGE_ROW)
-    images = [{"pixels": a[:24], "compression": tiff.LZW, "rows_per_strip": 12, "predictor": 1}]
-    if len(a) > 24:
-        images.append({"pixels": a[24:48], "compression": tiff.PACKBITS, "tile": 16, "predictor": 2})
-    if len(a) > 48:
-        images.append({"pixels": a[48:], "compression": tiff.DEFLATE, "rows_per_strip": 1024, "predictor": 2})
-    return tiff.encode(images)
+    squares = len(a) // PAGE_ROW
+    edge = [PAGE_ROW * (squares * i // 3) for i in range(4)]
+    kinds = [{"compression": tiff.LZW, "rows_per_strip": 2048, "predictor": 1}, {"compression": tiff.PACKBITS, "tile": 16, "predictor": 2}, {"compression": tiff.DEFLATE, "rows_per_strip": 1024, "predictor": 2}]
+    first = zlib.crc32(payload)
+    return tiff.encode([{"pixels": a[edge[i] : edge[i + 1]], **kinds[(first + i) % 3]} for i in range(3) if edge[i] < edge[i + 1]])
 
 
 def padded(raw: bytes, unit: int = 576) -> bytes:
     return raw + b"\xff" * (unit - len(raw) % unit if len(raw) % unit or not raw else 0)
 
 
-def media_row(raw: bytes) -> tuple:
-    from sparkloom.llm import tiff
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
 
-    media = tiff_of(padded(raw))
-    found = list(tiff.pages(media))
-    back = b"".join(p["pixels"].tobytes() for p in found)
-    counts = np.bincount(np.frombuffer(back, np.uint8), minlength=256)
-    share = counts[counts > 0] / len(back)
-    feature = f"pages={len(found)};rows={sum(p['length'] for p in found)};mean={float(np.dot(counts, np.arange(256))) / len(back):.4f};entropy={float(-(share * np.log2(share)).sum()):.4f}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(found)
 
+class Media:
+    """What is read back of one file, page after page."""
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
+    def __init__(self, key, doc_id, n_bytes: int, media_bytes: int, media_sha256: str):
+        self.key, self.own = key, (doc_id, n_bytes, media_bytes, media_sha256)
+        self.hash, self.tail, self.counts, self.pages, self.rows = hashlib.sha256(), b"", np.zeros(256, np.int64), 0, 0
 
+    def add(self, pixels: bytes | None, length: int | None, error: str | None) -> None:
+        if error is not None:
+            raise ValueError(f"a stored file can't be read back: {error}")
+        self.hash.update(pixels)
+        self.tail = (self.tail + pixels)[-32:]
+        self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+        self.pages += 1
+        self.rows += length
 
-def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores each text as TIFF, reads the file back by `tiff.pages` and digests what was read."""
+    def row(self) -> tuple:
+        n = int(self.counts.sum())
+        share = self.counts[self.counts > 0] / n
+        feature = f"pages={self.pages};rows={self.rows};mean={float(np.dot(self.counts, np.arange(256))) / n:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f}"
+        doc_id, n_bytes, media_bytes, media_sha256 = self.own
+        return doc_id, n_bytes, n, self.hash.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, feature, self.pages
+
+
+def media_rows(texts: DataFrame) -> DataFrame:
+    """MEDIA of (doc_id, text): each text is stored as a TIFF file, `tiff.read_pages` reads the files back, and their
+    pages are digested one after the other. Null text is empty; rows that repeat a doc_id are files of their own."""
+    from sparkloom.llm import tiff
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            media = [tiff_of(padded(r)) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(media, pa.binary())], names=["key", "doc_id", "n_bytes", "media_bytes", "media_sha256", "media"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in MEDIA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        now, out = None, []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
         for batch in batches:
-            made = [media_row((t or "").encode()) for t in batch.column(1).to_pylist()]
-            cols = list(zip(*made, strict=True)) if made else [[]] * 8
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+            get = lambda c: batch.column(batch.schema.names.index(c)).to_pylist()  # noqa: B023, E731
+            for key, length, pixels, error, *own in zip(*map(get, ("key", "length", "pixels", "error", "doc_id", "n_bytes", "media_bytes", "media_sha256")), strict=True):
+                if now is None or now.key != key:
+                    if now:
+                        out.append(now.row())
+                    now = Media(key, *own)
+                now.add(pixels, length, error)
+            yield flush()
+            out.clear()
+        if now:
+            out.append(now.row())
+        yield flush()
+
+    X.tuned(texts.sparkSession)
+    files = texts.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(X.trimmed(store), "key long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    pages = tiff.read_pages(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    return pages.select("key", "length", "pixels", "error", "doc_id", "n_bytes", "media_bytes", "media_sha256").mapInArrow(X.trimmed(digest), MEDIA)
+
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(X.trimmed(run), MEDIA)
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of each text that was stored as TIFF."""
+    return media_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

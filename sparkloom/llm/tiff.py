@@ -5,9 +5,10 @@ samples. Strips and tiles, either byte order, no compression, PackBits, LZW (MSB
 and deflate are read, and the horizontal differencing predictor is undone. `encode` writes such files;
 it is what the round trip stores.
 
-Defined cases: null media is no page; a file that is cut short or not TIFF gives one row with `error`
-set and no samples instead of failing the job; a directory that points back ends the walk; an empty
-table gives no rows; other columns than the two named are ignored.
+Defined cases: null media is no page; a file that is cut short, forged or not TIFF gives the pages before the
+fault and then one row with `error` set and no samples, instead of failing the job; a directory that points back ends
+the walk; rows that repeat a key give their pages one after the other; an empty table gives no rows; columns that are
+neither named nor kept are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 TYPE_FORMAT = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
+#: Samples that a byte can stand for at most, by compression; a whole file is never larger unpacked.
+EXPANDS = {NONE: 1, PACKBITS: 128, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100}
 
+PAGE_SCHEMA = pa.schema([("key", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("length", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("tiled", pa.bool_()), ("predictor", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 PAGES = "key long, page int, width int, length int, samples int, compression int, tiled boolean, predictor int, pixels binary, error string"
 
 
@@ -77,130 +81,90 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Codes up to which each width reaches after a clear, and where each of them begins, in bits.
+_CODES = np.arange(1, 4096)
+_WIDTHS = np.select([_CODES < 255, _CODES < 767, _CODES < 1791], [9, 10, 11], 12)
+_PLACES = np.concatenate(([0], np.cumsum(_WIDTHS)))
+_LETTERS = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    fresh = table[:]
+    """The codes from one clear to the next are cut out at once, as their widths follow from their number."""
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.int64)
+    end, at, made = 8 * len(data), 0, 0
     out: list[bytes] = []
-    bits = have = 0
-    width, top, made = 9, 511, 0
-    last = b""
-    for byte in data:
-        bits = (bits << 8) | byte
-        have += 8
-        if have < width:
-            continue
-        have -= width
-        code = bits >> have
-        bits &= (1 << have) - 1
-        if code < CLEAR or code > END:
-            if not last:
-                last = table[code]
-            else:
-                if code < len(table):
-                    word = table[code]
-                elif code == len(table):
-                    word = last + last[:1]
-                else:
-                    raise ValueError("LZW code out of range")
-                table.append(last + word[:1])
-                last = word
-                if len(table) >= top and width < 12:
-                    width += 1
-                    top = (1 << width) - 1
-            out.append(last)
-            made += len(last)
-        elif code == CLEAR:
-            table = fresh[:]
-            width, top, last = 9, 511, b""
-        else:
+    while made < size:
+        n = int(np.searchsorted(_PLACES, end - at, "right")) - 1
+        if n <= 0:
             break
-        if made >= size:
+        place = at + _PLACES[:n]
+        k = place >> 3
+        word = (raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) >> (24 - (place & 7) - _WIDTHS[:n])
+        codes = word & ((1 << _WIDTHS[:n]) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stop[0]) if len(stop) else n
+        table = _LETTERS.copy()
+        add, put = table.append, out.append
+        last = b""
+        for code in codes[:n].tolist():
+            if code < len(table):
+                piece = table[code]
+                if last:
+                    add(last + piece[:1])
+            elif code == len(table) and last:
+                piece = last + last[:1]
+                add(piece)
+            else:
+                raise ValueError("LZW code out of range")
+            put(piece)
+            last = piece
+        made += sum(map(len, out[len(out) - n :] if n else ()))
+        if not len(stop) or codes[n] == END:
             break
-    return b"".join(out)
-
-
-_LETTERS = {bytes((i,)): i for i in range(256)}
+        at += int(_PLACES[n + 1])
+    return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    table = dict(_LETTERS)
-    bits, have, width = CLEAR, 9, 9
-    total, next_code = 9, 258
-    w = b""
-    for i in range(len(data)):
-        wc = w + data[i : i + 1]
-        if wc in table:
-            w = wc
-            continue
-        bits = (bits << width) | table[w]
-        total += width
-        table[wc] = next_code
-        next_code += 1
-        w = wc[-1:]
-        if next_code >= (1 << width):
-            if width < 12:
-                width += 1
-            elif next_code >= 4095:
-                bits = (bits << width) | CLEAR
-                total += width
-                table, width, next_code = dict(_LETTERS), 9, 258
-    if w:
-        bits = (bits << width) | table[w]
-        total += width
-        next_code += 1
-        if next_code >= (1 << width) and width < 12:
-            width += 1
-    bits = (bits << width) | END
-    total += width
-    pad = -total % 8
-    return (bits << pad).to_bytes((total + pad) // 8, "big")
-
-
-def lzw_encode_long(data: bytes, block: int = 2048) -> bytes:
-    """As lzw_encode; long data is bit-joined from blocks so that the work stays linear."""
-    return lzw_encode(data) if len(data) <= block else _lzw_stream(data)
-
-
-def _lzw_stream(data: bytes) -> bytes:
-    table, out = dict(_LETTERS), bytearray()
-    bits, have, width, next_code, w = CLEAR, 9, 9, 258, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, have
-        bits = (bits << width) | code
-        have += width
-        while have >= 8:
-            have -= 8
-            out.append((bits >> have) & 255)
-        bits &= (1 << have) - 1
-
-    for i in range(len(data)):
-        wc = w + data[i : i + 1]
-        if wc in table:
-            w = wc
-            continue
-        put(table[w])
-        table[wc] = next_code
-        next_code += 1
-        w = wc[-1:]
-        if next_code >= (1 << width):
-            if width < 12:
-                width += 1
-            elif next_code >= 4095:
+    """Codes by one pass over the bytes, then all their bits at once: a code's width follows from how many were
+    written since the last clear."""
+    codes, clears = [CLEAR], [0]
+    table: dict[int, int] = {}
+    top, find, put = 258, table.get, codes.append
+    w = data[0] if data else None
+    for c in data[1:]:
+        code = find(w << 8 | c)
+        if code is None:
+            put(w)
+            table[w << 8 | c] = top
+            top += 1
+            w = c
+            if top == 4095:
+                clears.append(len(codes))
                 put(CLEAR)
-                table, width, next_code = dict(_LETTERS), 9, 258
-    if w:
-        put(table[w])
-        next_code += 1
-        if next_code >= (1 << width) and width < 12:
-            width += 1
+                table.clear()
+                top = 258
+        else:
+            w = code
+    if w is not None:
+        put(w)
     put(END)
-    if have:
-        out.append((bits << (8 - have)) & 255)
-    return bytes(out)
+    code = np.array(codes, np.int64)
+    since = np.arange(len(code)) - np.repeat(clears, np.diff([*clears, len(code)]))
+    # the n-th code after a clear may be up to 256 + n, and the width grows one code early; a later clear comes at 12 bits
+    made = 257 + since
+    made[clears[1:]] = 4095
+    width = np.select([made < 512, made < 1024, made < 2048], [9, 10, 11], 12)
+    width[0] = 9
+    at = np.cumsum(width) - width
+    bits = np.zeros(int(at[-1] + width[-1]), np.uint8)
+    for k in range(12):  # bit k from the top of each code
+        has = width > k
+        bits[at[has] + k] = code[has] >> (width[has] - 1 - k) & 1
+    return np.packbits(bits).tobytes()
 
 
-PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw_encode_long, DEFLATE: lambda b: zlib.compress(b, 1)}
+PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
 def unpack(kind: int, data: bytes, size: int) -> bytes:
@@ -277,15 +241,22 @@ def pages(media: bytes) -> Iterator[dict]:
                 tags[tag] = struct.unpack_from(f, media, where)
         one = lambda tag, default=None: tags[tag][0] if tag in tags else default  # noqa: B023, E731
         w, h, spp, kind, predictor = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if set(tags.get(BITS, (8,))) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2) or not w or not h:
+        if set(tags.get(BITS, (8,))) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2) or not w or not h or not spp:
             raise ValueError("only chunky 8-bit samples are supported")
         tiled = TILE_OFFSETS in tags
+        # a forged size must not take memory: what a byte can stand for is bounded for each compression
+        if w * h * spp > len(media) * EXPANDS.get(kind, 1):
+            raise ValueError("more samples than the file can hold")
         if tiled:
             tw, th = one(TILE_WIDTH), one(TILE_LENGTH)
+            if not tw or not th or tw * th * spp > len(media) * EXPANDS.get(kind, 1):
+                raise ValueError("tiles without a size, or larger than the file can hold")
             places = [(y, x, th, tw) for y in range(0, h, th) for x in range(0, w, tw)]
             where, sizes = tags[TILE_OFFSETS], tags[TILE_COUNTS]
         else:
             rows = min(one(ROWS_PER_STRIP, h), h)
+            if not rows:
+                raise ValueError("strips without rows")
             places = [(y, 0, min(rows, h - y), w) for y in range(0, h, rows)]
             where, sizes = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
         grid = np.zeros((h, w, spp), np.uint8)
@@ -303,21 +274,27 @@ def pages(media: bytes) -> Iterator[dict]:
         at = struct.unpack_from(order + "I", media, at + 2 + 12 * n)[0]
 
 
-def read_pages(df: DataFrame, media: str = "media", key: str = "key") -> DataFrame:
-    """PAGES: one row per page of each file."""
-    names = [x.split(" ")[0] for x in PAGES.split(", ")]
+def read_pages(df: DataFrame, media: str = "media", key: str = "key", keep: tuple[str, ...] = ()) -> DataFrame:
+    """PAGES: one row per page of each file, in the files' order; the columns `keep` come beside them."""
+    page = PAGE_SCHEMA
+    names = [f.name for f in page]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (x.split(" ") for x in PAGES.split(", "))])
         for batch in batches:
-            for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = [batch.column(2 + i) for i in range(len(keep))]
+            for i, (k, m) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 m = m.as_py()
                 if m is None:
                     continue
+                found = []
                 try:
-                    for page in pages(m):
-                        yield pa.RecordBatch.from_pylist([page | {"key": k, "pixels": page["pixels"].tobytes(), "error": None}], schema=schema)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-                    yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"key": k, "error": str(e) or type(e).__name__}], schema=schema)
-
-    return df.select(F.col(key).cast("long").alias("key"), F.col(media).alias("media")).mapInArrow(X.trimmed(rows), PAGES)
+                    for p in pages(m):
+                        found.append(p | {"key": k, "pixels": p["pixels"].tobytes(), "error": None})
+                except (ValueError, KeyError, TypeError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+                    found.append(dict.fromkeys(names) | {"key": k, "error": str(e) or type(e).__name__})
+                got = pa.RecordBatch.from_pylist(found, schema=page)
+                if found:
+                    yield pa.RecordBatch.from_arrays([*got.columns, *(pa.concat_arrays([c[i : i + 1]] * len(found)) for c in more)], names=[*names, *keep])
+
+    extra = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(media).alias("media"), *(F.col(c) for c in keep)).mapInArrow(X.trimmed(rows), PAGES + extra)

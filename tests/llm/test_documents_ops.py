@@ -107,6 +107,64 @@ def test_packing_leaves_little_padding(spark):
     assert row.n / (row.s * 2048) > 0.98
 
 
+def least_determinant(x):
+    """The minimum covariance determinant by all halves of the rows."""
+    from itertools import combinations
+
+    import numpy as np
+
+    n, p = x.shape
+    h = (n + p + 1) // 2
+    best = None
+    for pick in combinations(range(n), h):
+        _, _, _, logdet = quality_rules.solved(moments_of(x[list(pick)])[None], np.array([h / n]))
+        if best is None or logdet[0] < best[0]:
+            best = (float(logdet[0]), pick)
+    return best
+
+
+def moments_of(x):
+    import numpy as np
+
+    return np.concatenate(([len(x)], x.sum(0), [(x[:, i] * x[:, j]).sum() for i, j in quality_rules.PAIRS]))
+
+
+def test_outliers_have_the_least_determinant(spark):
+    """Small groups with planted outliers, against all halves."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g in range(4):
+        x = rng.normal(size=(13, quality_rules.P)) * quality_rules.FLOORS * (3 + g)
+        x[: 2 + g % 2] += 40 * quality_rules.FLOORS * rng.normal(size=quality_rules.P)
+        want[g] = least_determinant(x)
+        rows += [(g, v.tolist()) for v in x]
+    got = {r.group: r for r in quality_rules.fit(spark.createDataFrame(rows, "group long, x array<double>").repartition(3)).collect()}
+    assert got.keys() == want.keys()
+    exact = 0
+    for g, (logdet, _) in want.items():
+        assert logdet - 1e-6 <= got[g].logdet < logdet + 1.5  # steps end in a minimum, if not always the least
+        exact += got[g].logdet < logdet + 0.05
+        d = np.array([v for k, v in rows if k == g]) - np.array(got[g].center)
+        d2 = np.einsum("ni,ij,nj->n", d, np.array(got[g].inverse).reshape(quality_rules.P, -1), d)
+        assert d2[: 2 + g % 2].min() > 10 * np.median(d2)
+    assert exact >= 2
+
+
+def test_outliers_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = [sorted((r.doc_id, r.kept, round(r.distance2 or -1, 6)) for r in quality_rules.quality_rules(df.repartition(n)).collect()) for n in (1, 7)]
+    assert seen[0] == seen[1]
+
+
+def test_a_group_of_few_is_drawn_to_its_parent(spark):
+    words = lambda i: " ".join(f"word{(i * 7 + j * 13) % 97}" for j in range(60 + i % 30))
+    rows = [(i, words(i), "en", "large") for i in range(300)] + [(1000, words(7), "en", "alone"), (1001, words(8), None, None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000].kept and got[1001].kept and abs(got[1000].distance2 - got[7].distance2) < 5
+
+
 @pytest.mark.parametrize("kind", sorted(tiff.PACK))
 @pytest.mark.parametrize("layout", [{"rows_per_strip": 5}, {"tile": 16}, {}])
 @pytest.mark.parametrize("predictor", [1, 2])
@@ -150,8 +208,53 @@ def test_media_query(spark):
         raw = (t or "").encode()
         full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-    for t in ODD:
-        assert queries.media_row((t or "").encode())[1] % 576 == 0
+
+
+def test_media_rows_of_odd_texts(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(7, "x" * 200_000), (7, "x" * 200_000), (8, "".join(chr(33 + i * i % 90) for i in range(150_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    want = Counter((d, len(raw := (t or "").encode()), hashlib.sha256(queries.padded(raw)).hexdigest()) for d, t in rows)
+    got = queries.media_rows(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == want
+    assert all(r.payload_bytes % 576 == 0 for r in got)
+    same = [r for r in got if r.doc_id == 7 and r.n_bytes == 200_000]
+    assert len(same) == 2 and len({(r.media_sha256, r.feature) for r in same}) == 1
+    assert queries.media_rows(df.limit(0)).count() == 0
+
+
+def test_tiff_codecs_get_like_shares(spark):
+    share = Counter()
+    for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        for p in tiff.pages(queries.tiff_of(queries.padded((t or "").encode()))):
+            share[p["compression"]] += p["pixels"].size
+    assert all(0.3 < v / sum(share.values()) < 0.37 for v in share.values()) and len(share) == 3
+
+
+def test_tiff_forged_files(spark):
+    import struct
+
+    import numpy as np
+
+    tiled = bytearray(tiff.encode([{"pixels": np.zeros((32, 32), np.uint8), "compression": tiff.NONE, "tile": 16}]))
+    strips = bytearray(tiff.encode([{"pixels": np.zeros((32, 32), np.uint8), "compression": tiff.DEFLATE, "rows_per_strip": 8}]))
+
+    def patched(media, tag, value=None):
+        """The file with a tag's value changed, or the tag renamed away."""
+        media = bytearray(media)
+        at = struct.unpack_from("<I", media, 4)[0]
+        for k in range(struct.unpack_from("<H", media, at)[0]):
+            p = at + 2 + 12 * k
+            if struct.unpack_from("<H", media, p)[0] == tag:
+                if value is None:
+                    struct.pack_into("<H", media, p, 60000)
+                else:
+                    struct.pack_into("<I", media, p + 8, value)
+        return bytes(media)
+
+    bad = [patched(tiled, tiff.TILE_WIDTH), patched(tiled, tiff.TILE_LENGTH), patched(tiled, tiff.TILE_COUNTS), patched(tiled, tiff.TILE_WIDTH, 1 << 30), patched(strips, tiff.LENGTH, 1 << 30), patched(strips, tiff.ROWS_PER_STRIP, 0), patched(strips, tiff.STRIP_OFFSETS), patched(strips, tiff.WIDTH)]
+    rows = tiff.read_pages(spark.createDataFrame(list(enumerate(map(bytearray, bad))), "key long, media binary")).collect()
+    assert sorted(r.key for r in rows) == list(range(len(bad))) and all(r.error and r.pixels is None for r in rows)
+    assert tiff.read_pages(spark.createDataFrame([], "key long, media binary")).count() == 0
 
 
 TURNS = ["", "plain", "[INST]", "</s>[INST] ok [/INST]", r"[\INST]", r"[\\/INST] <\s> </s>", " [/INST", "a [/SYS] b", "[/INST", "line\n[TURN x] y [/TURN]", "<s>", "é" * 5000, " </s", "x </s>"]
