@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights."""
-    return mixed(docs, Q.domains(spark, sf_dir, docs), Q.TARGETS, floor=1.0, scale=1.3)
+    """Documents repeated towards the target weights, none dropped: the mix is as large as that needs."""
+    return mixed(docs, Q.domains(spark, sf_dir, docs), Q.TARGETS, floor=1.0, scale=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
