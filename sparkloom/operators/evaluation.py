@@ -42,6 +42,14 @@ def metrics(ranking: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def primary_ndcg(ranking: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+    """Per query with a judgement of grade 3, in millionths: the gain of those alone, each as 1."""
+    good = judged.filter("grade = 3").select("query", "doc")
+    ideal = good.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("doc"))).groupBy("query").agg(F.sum(F.when(F.col("r") <= k, quantised(discounted(F.col("r"))))).alias("ideal"))
+    got = ranking.filter(F.col("rank") <= k).join(good, ["query", "doc"]).groupBy("query").agg(F.sum(quantised(discounted(F.col("rank")))).alias("got"))
+    return ideal.join(got, "query", "left").select("query", F.floor(1_000_000 * F.coalesce("got", F.lit(0)) / F.col("ideal")).cast("long").alias("primary_ndcg"))
+
+
 def by_axes(rows: DataFrame, axes: list[str], measure: str) -> DataFrame:
     """Count and sum of a measure for each value of each axis, one pass by grouping sets. Null is unknown."""
     cols = [F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in axes]
