@@ -61,3 +61,28 @@ def rank_fused(hits: DataFrame, model: Column, head: int, k: int = RRF_K) -> Dat
     top = ranked(top.withColumn("fused", fused), ["query"], [F.desc("fused"), F.asc("rank")], "final_rank")
     tail = hits.filter(F.col("rank") > head).withColumn("final_rank", F.col("rank"))
     return top.select("query", "doc", "rank", "final_rank").unionByName(tail.select("query", "doc", "rank", "final_rank"))
+
+
+def boosted(hits: DataFrame, same: int = 3, below: int = 1) -> DataFrame:
+    """hits (query, doc, rank, level, difficulty): those of the learner's level move up; for advanced learners none."""
+    up = F.when(F.col("level") == "advanced", 0).when(F.col("difficulty") == F.col("level"), same).when((F.col("level") == "intermediate") & (F.col("difficulty") == "beginner"), below).otherwise(0)
+    return ranked(hits.withColumn("adjusted", F.col("rank") - up), ["query"], [F.asc("adjusted"), F.asc("rank")], "final_rank")
+
+
+def bucketed(hits: DataFrame, point: Column, fallback: str) -> DataFrame:
+    """(query, bucket, docs): each query's hits by learning point, in their order."""
+    rows = hits.withColumn("bucket", F.coalesce(point, F.lit(fallback)))
+    docs = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string"))
+    return rows.groupBy("query", "bucket").agg(F.array_join(docs, ",").alias("docs"))
+
+
+def positions(rows: DataFrame, value: str, ties: list[str]) -> DataFrame:
+    """`rows` with their position in the order of `value` (null first) and `ties`. Values are counted first: what
+    passes one task is a count for each distinct value, so this is for values that repeat; a row's place among equals
+    comes from a window over its value."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.withColumn("before", before).select(F.col(value).alias("own"), "before")
+    place = F.row_number().over(Window.partitionBy(value).orderBy(*ties))
+    out = rows.withColumn("place", place).join(base, F.col(value).eqNullSafe(F.col("own")))
+    return out.withColumn("position", (F.col("before") + F.col("place")).cast("long")).drop("own", "before", "place")

@@ -6,7 +6,7 @@ under its size threshold. Token sets are taken per document before the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -71,23 +71,33 @@ def full_text(docs: DataFrame, words: list[str], phrase: bool = False) -> DataFr
 
 
 def feedback_terms(pseudo: DataFrame, background: DataFrame, originals: DataFrame, k: int = 8, least: int = 2, smooth: float = 1e-6) -> DataFrame:
-    """Expansion terms by tf * log(relative frequency ratio). pseudo: (query, term); background: (term);
-    originals: (query, term)."""
-    tf = pseudo.groupBy("query", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("query").agg(F.sum("tf").alias("size"))
-    corpus = background.groupBy("term").agg(F.count("*").alias("cf"))
-    total = background.agg(F.count("*").alias("total"))
-    rows = tf.filter(F.col("tf") >= least).join(size, "query").join(corpus, "term", "left").crossJoin(total).join(originals.distinct(), ["query", "term"], "left_anti")
+    """Expansion terms by tf * log(relative frequency ratio). pseudo: (query, term, weight) with weights as counts;
+    background: (term, weight); originals: (query, term)."""
+    tf = pseudo.groupBy("query", "term").agg(F.sum("weight").alias("tf"))
+    tf = tf.withColumn("size", F.sum("tf").over(Window.partitionBy("query")))  # a few documents' terms a query
+    corpus = background.groupBy("term").agg(F.sum("weight").alias("cf"))
+    total = background.agg(F.sum("weight").alias("total"))
+    rows = tf.filter(F.col("tf") >= least).join(corpus, "term", "left").crossJoin(F.broadcast(total)).join(originals.distinct(), ["query", "term"], "left_anti")
     p, q = F.col("tf") / F.col("size"), F.coalesce(F.col("cf"), F.lit(0)) / F.col("total")
     rows = rows.withColumn("score", V.quantised(p * F.ln((p + smooth) / (q + smooth))))
     return top_k(rows.filter("score > 0").select("query", "term", "tf", "score"), ["query"], [F.desc("score"), F.asc("term")], k)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one scope with cosine over a threshold. vectors: (doc, scope, vector). A pair is compared
-    within its scope only; scopes are split by Spark's skew join, and nothing but pairs over the threshold
-    leaves the join."""
-    a = vectors.select(F.col("doc").alias("doc_a"), "scope", F.col("vector").alias("va"))
-    b = vectors.select(F.col("doc").alias("doc_b"), "scope", F.col("vector").alias("vb"))
-    score = V.quantised(V.cosine(F.col("va"), F.col("vb")))
-    return a.join(b, (a["scope"] == b["scope"]) & (F.col("doc_a") < F.col("doc_b")) & (score >= int(threshold * 1_000_000))).select("doc_a", "doc_b", a["scope"], score.alias("score"))
+def near_duplicates(vectors: DataFrame, threshold: float, planes: int = 0, bands: int = 1) -> DataFrame:
+    """Pairs of one scope with cosine over a threshold. vectors: (doc, scope, vector). Vectors are normalised once, so a
+    pair costs one product. Without `planes` every pair of a scope is compared (exact). With them, only pairs that fall
+    on the same sides of `planes` random planes in one of `bands` draws: of pairs at cosine c, a share of
+    1 - (1 - (1 - acos(c) / pi) ** planes) ** bands is found."""
+    unit = vectors.select("doc", "scope", V.normalised(F.col("vector")).alias("v"))
+    key = ["scope"]
+    if planes:
+        # Rademacher directions from hashes of (band, plane, place): the same everywhere, and nothing is sent
+        side = lambda b, p: F.aggregate(F.transform("v", lambda x, i: F.when(F.xxhash64(F.lit(b), F.lit(p), i) >= 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x) >= 0
+        signs = lambda b: F.concat(F.lit(f"{b}:"), *(F.when(side(b, p), "1").otherwise("0") for p in range(planes)))
+        unit, key = unit.withColumn("cell", F.explode(F.array(*(signs(b) for b in range(bands))))), ["scope", "cell"]
+    a = unit.select(*key, F.col("doc").alias("doc_a"), F.col("v").alias("va"))
+    b = unit.select(*key, F.col("doc").alias("doc_b"), F.col("v").alias("vb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    out = a.join(b, key).filter("doc_a < doc_b").withColumn("score", V.quantised(dot)).filter(F.col("score") >= int(threshold * 1_000_000))
+    out = out.select("doc_a", "doc_b", "scope", "score")
+    return out.distinct() if planes else out

@@ -99,11 +99,11 @@ def learner_counts(spark, sf):
 
 
 @query("""WITH u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT DISTINCT event_type FROM events), p AS (SELECT DISTINCT user_id FROM events)
-SELECT user_id, event_type FROM p, t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = p.user_id AND u.event_type = t.event_type AND n >= 3)""")
+SELECT user_id, event_type FROM p, t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = p.user_id AND u.event_type = t.event_type AND n >= 12)""")
 def suggest_next(spark, sf):
-    """Kinds that a learner has done less than three times."""
+    """Kinds that a learner has done less than twelve times."""
     events = read(spark, sf, "events")
     kinds = events.select("event_type").distinct()
-    done = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n >= 3").select("user_id", "event_type")
+    done = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n >= 12").select("user_id", "event_type")
     every = events.select("user_id").distinct().crossJoin(kinds)  # a catalog of kinds, not of rows
     return every.join(done, ["user_id", "event_type"], "left_anti")

@@ -57,14 +57,6 @@ def sparse_dot_topk(spark, sf):
     return sparse_hits(spark, sf).select("query", "doc", "score", "n_terms", "rank")
 
 
-@query(f"""SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS doc, cast(floor(({COS}) * 1000000 + 0.5) AS BIGINT) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10) s WHERE score > 0) t WHERE rank <= 20""")
-def dense_topk(spark, sf):
-    """The ten stated queries against all vectors."""
-    rows = read(spark, sf, "embeddings")
-    hits = R.dense(rows.filter("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), rows.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), 20)
-    return hits.select("query", "doc", "rank")
-
-
 @query(f"""SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS doc, cast(floor(({COS}) * 1000000 + 0.5) AS BIGINT) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) s WHERE score > 0) t WHERE rank <= 20""")
 def dense_topk_every50(spark, sf):
     """Every vector whose id is divisible by 50 against all vectors: queries grow with the table."""
@@ -172,10 +164,16 @@ def rerank_rank_fusion(spark, sf):
     return K.rank_fused(hits, F.coalesce(F.col("coverage"), F.lit(0)), 10)
 
 
-@query("""SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, a.label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE cast(floor((""" + COS + """) * 1000000 + 0.5) AS BIGINT) >= 920000""")
+COPIES = "v AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_transform(embedding, lambda x, i: cast(x * 0.9 + CASE WHEN i = 1 THEN 0.01 ELSE 0 END AS FLOAT)) FROM embeddings WHERE label <> 0)"
+
+
+@query(f"WITH {COPIES} SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, a.label FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE cast(floor((" + COS + ") * 1000000 + 0.5) AS BIGINT) >= 920000")
 def near_duplicates(spark, sf):
+    """All vectors and, beside those of most labels, a copy that is shorter and a little turned."""
     rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("label").alias("scope"), F.col("embedding").alias("vector"))
-    return R.near_duplicates(rows, 0.92).select("doc_a", "doc_b", F.col("scope").alias("label"))
+    turned = F.transform("vector", lambda x, i: (x.cast("double") * 0.9 + F.when(i == 0, 0.01).otherwise(0.0)).cast("float"))
+    every = rows.unionByName(rows.filter("scope <> 0").select((F.col("doc") + 10_000_000).alias("doc"), "scope", turned.alias("vector")))
+    return R.near_duplicates(every, 0.92).select("doc_a", "doc_b", F.col("scope").alias("label"))
 
 
 @query(f"""WITH {CTE}, {TF}, ps AS (SELECT query, term, cast(sum(own) AS BIGINT) AS tf FROM lex JOIN dt USING (doc) WHERE rank <= 5 GROUP BY 1, 2), sz AS (SELECT query, sum(tf) AS size FROM ps GROUP BY 1), cf AS (SELECT term, sum(own) AS cf FROM dt GROUP BY 1), tot AS (SELECT sum(own) AS total FROM dt),
@@ -184,7 +182,4 @@ SELECT * FROM (SELECT query, term, tf, row_number() OVER (PARTITION BY query ORD
 def rm3_expansion(spark, sf):
     docs = counted(read(spark, sf, "documents"), "doc_id", "doc")
     top = lexical_hits(spark, sf).filter("rank <= 5").join(docs, "doc")
-    repeat = F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))
-    pseudo = top.select("query", "term", repeat.alias("one")).select("query", "term")
-    background = docs.select("term", repeat.alias("one")).select("term")
-    return R.feedback_terms(pseudo, background, queries_of(spark, sf)).select("query", "term", "tf", "rank")
+    return R.feedback_terms(top.select("query", "term", "weight"), docs.select("term", "weight"), queries_of(spark, sf)).select("query", "term", "tf", "rank")

@@ -8,7 +8,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import retrieval as R
 from sparkloom.plans.base import query, read
 
-TERM = r"[a-z][a-z0-9_+./-]*|[가-힣]{2,}|[0-9]+"
+TERM = T.RETRIEVAL_TOKEN
 WORDS = r"[\p{L}\p{N}]+"
 FOLD = "translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 PADDED = f"' ' || array_to_string(regexp_extract_all({FOLD}, '{WORDS}'), ' ') || ' '"
@@ -61,10 +61,11 @@ def quality_flags(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9a-f]{32,}', '[token]', 'g')) AS clean FROM documents WHERE NOT regexp_matches(lower(text), '(password|passwd|pwd)\s*[=:]')""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text || CASE WHEN lang <> 'en' THEN ' Password: pw' || doc_id || ' end' ELSE '' END, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9a-f]{32,}', '[token]', 'g'), '(?i)(password|passwd|pwd)\s*[=:]\s*[^\s]+', '\1=[secret]', 'g')) AS clean FROM documents""")
 def redaction(spark, sf):
-    rows = read(spark, sf, "documents").filter(~F.lower("text").rlike(r"(password|passwd|pwd)\s*[=:]"))
-    return rows.select("doc_id", F.md5(T.redact(F.col("text"))).alias("clean"))
+    """All three rules over all documents; some get a password beside those that have one."""
+    planted = F.concat("text", F.when(F.col("lang") != "en", F.concat(F.lit(" Password: pw"), F.col("doc_id").cast("string"), F.lit(" end"))).otherwise(""))
+    return read(spark, sf, "documents").select("doc_id", F.md5(T.redact(planted)).alias("clean"))
 
 
 @query("""SELECT t AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]+')) AS t FROM documents) x GROUP BY 1 ORDER BY n DESC, term LIMIT 50""")

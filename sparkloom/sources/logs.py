@@ -56,14 +56,22 @@ def front_matter(text: Column) -> Column:
     return F.when(text.rlike(r"^---\n[\s\S]*?\n---(\n|$)"), F.map_from_entries(F.transform(pairs, lambda x: F.struct(key(x), value(x)))))
 
 
-def append(rows: DataFrame, paths: list[str]) -> None:
-    """The same rows to each log."""
+def append(rows: DataFrame, paths: list[str], by: list[str] | None = None) -> None:
+    """The same rows to each log, in folders by the columns `by`."""
     for path in paths:
-        rows.write.mode("append").json(path)
+        out = rows.write.mode("append")
+        (out.partitionBy(*by) if by else out).json(path)
+
+
+def log_rows(spark: SparkSession, path: str, schema: T.StructType, schema_id: str, field: str, values: list[str]) -> DataFrame:
+    """Rows of a log that carry its schema id and an allowed value."""
+    return jsonl(spark, path, schema, (F.col("schema_id") == schema_id) & F.col(field).isin(values))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Rows of both, the last version of each key."""
-    every = old.unionByName(new, allowMissingColumns=True)
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last(version)))
-    return every.withColumn("__n", n).filter("__n = 1").drop("__n")
+    """Rows of both, the last version of each key; of equal versions the new row, and of equal new rows that with the
+    largest content."""
+    every = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    content = F.to_json(F.struct(*sorted(set(every.columns) - {"__new"})))
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last(version), F.desc("__new"), F.desc(content)))
+    return every.withColumn("__n", n).filter("__n = 1").drop("__n", "__new")

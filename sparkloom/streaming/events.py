@@ -64,6 +64,20 @@ def paired(events: DataFrame, opens: str, closes: str, ttl_hours: float = 24.0,
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, PAIRS, "event long, at long", "append", "EventTimeTimeout")
 
 
+def rebuilt(events: DataFrame, path: str, checkpoint: str, profile) -> None:
+    """Rebuild the profiles of the users that a batch has news of: `profile` makes them from all their events, which are
+    kept in `path`/events; profiles of a batch go to `path`/profiles/batch=N, and the latest one of a user counts."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={n}")
+        every = spark.read.parquet(f"{path}/events")
+        users = batch.select("user_id").distinct()
+        profile(every.join(users, "user_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/profiles/batch={n}")
+
+    events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run what is there now into a memory table; for tests and small reports."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -87,5 +87,20 @@ def test_streams(spark, tmp_path):
     assert events.drained(events.deduplicated(src), "once", str(tmp_path / "c1")).count() == 4
     pairs = events.drained(events.paired(src, "open", "close"), "pairs", str(tmp_path / "c2")).collect()
     assert [(r.user_id, r.opened, r.closed, r.waited) for r in pairs] == [(1, 1, 2, 600.0)]
-    assert events.drained(events.sessions(src), "sess", str(tmp_path / "c3"), "append").count() >= 0
-    assert events.drained(events.repeats(src), "rep", str(tmp_path / "c4"), "complete").filter("n >= 2").count() > 0
+    # a session is out once the watermark, an hour behind 5 January, has passed its end
+    sessions = events.drained(events.sessions(src), "sess", str(tmp_path / "c3"), "append").collect()
+    assert sorted((r.user_id, str(r.start), str(r.end), r.n) for r in sessions) == [(1, "2024-01-01 00:00:00", "2024-01-01 00:40:00", 3), (2, "2024-01-01 02:00:00", "2024-01-01 02:30:00", 1)]
+    repeats = events.drained(events.repeats(src), "rep", str(tmp_path / "c4"), "complete").collect()
+    # each event lies in seven windows of seven days that slide by a day; the repeated one counts twice in each
+    assert sorted((r.user_id, r.event_type, r.n) for r in repeats) == sorted([(1, "open", 2)] * 7 + [(1, "close", 1)] * 7 + [(2, "open", 1)] * 7 + [(2, "close", 1)] * 7)
+
+
+def test_profiles_are_rebuilt_for_users_with_news(spark, tmp_path):
+    row = lambda i, u: (i, "2024-01-01 00:00:00", u, "open")
+    write = lambda rows: spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "to_timestamp(ts) ts", "user_id", "event_type", "0.0D value", "'{}' props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    profile = lambda e: e.groupBy("user_id").agg(F.count("*").alias("n"))
+    for rows in ([row(1, 1), row(2, 2)], [row(3, 1)]):
+        write(rows)
+        events.rebuilt(events.source(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), profile)
+    got = sorted((r.batch, r.user_id, r.n) for r in spark.read.parquet(str(tmp_path / "out/profiles")).collect())
+    assert got == [(0, 1, 1), (0, 2, 1), (1, 1, 2)]
