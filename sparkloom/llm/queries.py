@@ -194,6 +194,16 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can say."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def media_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can say."""
+    return op9_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
@@ -205,12 +215,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_tiff": op9_tiff,
     "op10_ctw": op10_ctw,
+    "quality_base_columns": quality_base_columns,
+    "media_payload_columns": media_payload_columns,
 }
 
 #: The same results in DuckDB's SQL.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+WORD = r"[^\x20\x09-\x0D]+"
+#: Deletion of lines said another way: each line begins (and ends) a shortest run with 8 words, and goes where that run
+#: also stands earlier. Every longer run is a union of such runs that all stand earlier too.
+RUN = "list_filter(range(1, len({n}) + 1), lambda k: list_sum({n}[1:k]) >= 8)[1]"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+w AS (SELECT *, len(regexp_extract_all(x, '{WORD}')) AS n FROM a), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM w WHERE n > 0),
+g AS (SELECT doc_id, i, q, list(x) OVER f AS fx, list(n) OVER f AS fn, list(x) OVER b AS bx, list(n) OVER b AS bn FROM s WINDOW f AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), b AS (PARTITION BY doc_id ORDER BY q DESC ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+k AS (SELECT *, {RUN.format(n='fn')} AS fk, {RUN.format(n='bn')} AS bk FROM g),
+r AS (SELECT doc_id, q AS begin, fk AS size, array_to_string(fx[1:fk], chr(10)) AS run FROM k WHERE fk IS NOT NULL UNION SELECT doc_id, q - bk + 1, bk, array_to_string(list_reverse(bx[1:bk]), chr(10)) FROM k WHERE bk IS NOT NULL),
+m AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(begin) OVER o AS b0 FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, begin)),
+z AS (SELECT DISTINCT doc_id, unnest(range(begin, begin + size)) AS q FROM m WHERE doc_id > d0 OR begin > b0),
+e AS (SELECT a.doc_id, a.i, a.x, z.q IS NOT NULL AS gone FROM a LEFT JOIN s ON a.doc_id = s.doc_id AND a.i = s.i LEFT JOIN z ON s.doc_id = z.doc_id AND s.q = z.q),
+t AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, cast(n_removed AS BIGINT) AS n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM documents d JOIN t ON d.doc_id = t.doc_id""",
+    "quality_base_columns": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8) t), y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM y WHERE n > 1) t GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) t WHERE regexp_matches(x, '{WORD}') GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN l ON w.doc_id = l.doc_id""",
+    "media_payload_columns": """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), p AS (SELECT *, greatest(576, ((n + 575) // 576) * 576) AS m FROM b)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(h || repeat('FF', cast(m - n AS BIGINT)))) AS payload_sha256 FROM p""",
     "op2_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, 0, 'user', '{CONTROL_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TURN}'),
 e AS (SELECT *, regexp_matches(text, ' \[/(INST|SYS|TURN)\]| </s>') OR regexp_matches(text, '[\[<]\\+/?(INST|OUT|SYS|TURN|s)[\] >]') AS conflict,
