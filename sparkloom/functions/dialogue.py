@@ -208,4 +208,5 @@ def first_lines(text: Column, n: int) -> Column:
 
 def quoted_scalar(value: Column) -> Column:
     """A front-matter scalar: quoted where it holds a colon, a hash or quotes, with quotes escaped."""
-    return F.when(value.rlike(r"""[:#"']"""), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))).otherwise(value)
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(value.rlike(r"""[:#"']"""), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(value)

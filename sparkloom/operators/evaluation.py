@@ -51,22 +51,27 @@ def primary_ndcg(ranking: DataFrame, judged: DataFrame, k: int = 10) -> DataFram
 
 
 def by_axes(rows: DataFrame, axes: list[str], measure: str) -> DataFrame:
-    """Count and sum of a measure for each value of each axis, one pass by grouping sets. Null is unknown."""
-    cols = [F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in axes]
-    sets = ", ".join(f"({a})" for a in axes)
-    view = f"axes_{abs(hash((tuple(axes), measure)))}"
-    rows.select(*cols, F.col(measure).alias("m")).createOrReplaceTempView(view)
-    pick = " ".join(f"WHEN grouping({a}) = 0 THEN '{a}'" for a in axes)
-    value = f"coalesce({', '.join(axes)})"
-    return rows.sparkSession.sql(f"SELECT CASE {pick} END AS axis, {value} AS bucket, count(*) AS n, cast(sum(m) AS bigint) AS total FROM {view} GROUP BY GROUPING SETS ({sets})")
-
-
-def nearest_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """p50 = sorted[n // 2], p95 = sorted[round half even(.95 (n - 1))], without interpolation. Ranks come from
-    a window, so no group has to fit a list."""
-    w = Window.partitionBy(by)
-    r = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return r.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("p50"), F.max(F.when(F.col("r") == F.bround(0.95 * (F.col("n") - 1), 0) + 1, F.col("v"))).alias("p95"))
+    """Count and sum of a measure for each value of each axis, in one aggregation. Null is unknown."""
+    axis = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias("bucket")) for a in axes)))
+    return rows.select(axis.alias("a"), F.col(measure).alias("m")).groupBy("a.axis", "a.bucket").agg(F.count("*").alias("n"), F.sum("m").cast("long").alias("total"))
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:
+    """p50 = sorted[n // 2], p95 = sorted[round half even(.95 (n - 1))], without interpolation. Rows are counted by bins
+    of equal width first; only the values of the two bins that hold the ranks are then ranked, so no group is sorted."""
+    own = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    ends = own.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * bins))
+    binned = own.join(ends, by).withColumn("bin", F.coalesce(place, F.lit(0)))
+    counts = binned.groupBy(by, "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    w = Window.partitionBy(by).orderBy("bin")  # at most as many rows as bins
+    upto = counts.withColumn("upto", F.sum("k").over(w)).withColumn("before", F.col("upto") - F.col("k"))
+    ranks = F.array(F.struct(F.lit("p50").alias("name"), (F.floor(F.col("n") / 2) + 1).alias("rank")), F.struct(F.lit("p95").alias("name"), (F.bround(0.95 * (F.col("n") - 1), 0) + 1).cast("long").alias("rank")))
+    wanted = upto.select(by, "bin", "before", "upto", "n", F.explode(ranks).alias("r")).filter((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("upto"))).select(by, "bin", "n", F.col("r.name").alias("name"), (F.col("r.rank") - F.col("before")).alias("place"))
+    inside = binned.select(by, "bin", "v").join(wanted, [by, "bin"])
+    found = inside.withColumn("r", F.row_number().over(Window.partitionBy(by, "name").orderBy("v"))).filter(F.col("r") == F.col("place"))
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("v"))).alias(name)
+    return found.groupBy(by).agg(F.max("n").alias("n"), pick("p50"), pick("p95"))
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[int]) -> DataFrame:

@@ -41,26 +41,39 @@ def personalised(hits: DataFrame, state: DataFrame, mastered: float = -0.15, wea
 
 def without_forbidden(hits: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Drop hits at rank 2 and below that the query's first hit forbids. forbidden: (doc, other)."""
-    first = hits.filter("rank = 1").select("query", F.col("doc").alias("first"))
-    edges = first.join(forbidden.withColumnRenamed("doc", "first"), "first").select("query", F.col("other").alias("doc")).distinct()
-    return hits.filter("rank = 1").unionByName(hits.filter("rank > 1").join(edges, ["query", "doc"], "left_anti"))
+    first = F.first("doc").over(Window.partitionBy("query").orderBy("rank"))
+    edges = forbidden.select(F.col("doc").alias("first"), F.col("other").alias("doc"), F.lit(True).alias("banned")).distinct()
+    tagged = hits.withColumn("first", first).join(edges, ["first", "doc"], "left")
+    return tagged.filter((F.col("rank") == 1) | F.col("banned").isNull()).select(*hits.columns)
+
+
+def unlike_first(hits: DataFrame, same: list[str]) -> DataFrame:
+    """Drop hits at rank 2 and below that agree with the query's first hit in all columns `same`."""
+    w = Window.partitionBy("query").orderBy("rank")
+    alike = [F.col(c).eqNullSafe(F.first(c).over(w)) for c in same]
+    like = alike[0]
+    for a in alike[1:]:
+        like = like & a
+    return hits.withColumn("like", like).filter((F.col("rank") == 1) | ~F.col("like")).drop("like")
 
 
 def refused(hits: DataFrame, threshold: float, sentinel: int = -1) -> DataFrame:
     """Queries whose best score lies under the threshold get one sentinel row instead of their hits."""
-    best = hits.groupBy("query").agg(F.max("score").alias("best"))
-    low = best.filter(F.col("best") < threshold)
-    none = low.select("query", F.lit(sentinel).cast("long").alias("doc"), F.col("best").alias("score"), F.lit(1).cast("long").alias("rank"))
-    return hits.join(low, "query", "left_anti").select("query", "doc", "score", "rank").unionByName(none)
+    low = F.col("best") < threshold
+    rows = hits.withColumn("best", F.max("score").over(Window.partitionBy("query"))).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
+    rows = rows.filter(~low | (F.col("place") == 1))
+    pick = lambda a, b: F.when(low, a).otherwise(F.col(b)).alias(b)
+    return rows.select("query", pick(F.lit(sentinel).cast("long"), "doc"), pick(F.col("best"), "score"), pick(F.lit(1).cast("long"), "rank"))
 
 
 def rank_fused(hits: DataFrame, model: Column, head: int, k: int = RRF_K) -> DataFrame:
     """Re-order the first `head` hits by 1/(k + model rank) + 1/(k + rank); the tail follows unchanged."""
-    top = ranked(hits.filter(F.col("rank") <= head).withColumn("model", model), ["query"], [F.desc("model"), F.asc("rank")], "model_rank")
-    fused = 1.0 / (k + F.col("model_rank")) + 1.0 / (k + F.col("rank"))
-    top = ranked(top.withColumn("fused", fused), ["query"], [F.desc("fused"), F.asc("rank")], "final_rank")
-    tail = hits.filter(F.col("rank") > head).withColumn("final_rank", F.col("rank"))
-    return top.select("query", "doc", "rank", "final_rank").unionByName(tail.select("query", "doc", "rank", "final_rank"))
+    part = Window.partitionBy("query", "head")
+    rows = hits.withColumn("head", F.col("rank") <= head).withColumn("model", model)
+    rows = rows.withColumn("model_rank", F.row_number().over(part.orderBy(F.desc("model"), F.asc("rank"))))
+    rows = rows.withColumn("fused", 1.0 / (k + F.col("model_rank")) + 1.0 / (k + F.col("rank")))
+    final = F.when(F.col("head"), F.row_number().over(part.orderBy(F.desc("fused"), F.asc("rank")))).otherwise(F.col("rank"))
+    return rows.select("query", "doc", "rank", final.cast("long").alias("final_rank"))
 
 
 def boosted(hits: DataFrame, same: int = 3, below: int = 1) -> DataFrame:

@@ -114,19 +114,20 @@ SPACED = "' ' || trim(regexp_replace(lower({x}), '[^0-9a-z가-힣]+', ' ', 'g'))
 
 
 @query(f"""WITH b AS (SELECT DISTINCT {SPACED.format(x="array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:2], ' ')")} AS phrase, lower(list_filter({TOKENS.format(x='text')}[1:2], lambda t: length(t) >= 2)[1]) AS probe FROM benchmark),
-d AS (SELECT doc_id, {SPACED.format(x='text')} AS padded, unnest(list_distinct(list_transform({TOKENS.format(x='text')}, lambda t: lower(t)))) AS probe FROM documents)
-SELECT phrase, count(*) AS n, min(doc_id) AS first_doc FROM b JOIN d USING (probe) WHERE contains(padded, phrase) GROUP BY 1""")
+d AS (SELECT doc_id, unnest(list_distinct(list_transform({TOKENS.format(x='text')}, lambda t: lower(t)))) AS probe FROM documents), c AS (SELECT DISTINCT doc_id, phrase FROM b JOIN d USING (probe)), t AS (SELECT doc_id, {SPACED.format(x='text')} AS padded FROM documents)
+SELECT phrase, count(*) AS n, min(doc_id) AS first_doc FROM c JOIN t USING (doc_id) WHERE contains(padded, phrase) GROUP BY 1""")
 def phrase_probe_matches(spark, sf):
     """Phrases find candidates by their first token, then have to stand there whole."""
     spaced = lambda c: F.concat(F.lit(" "), D.compact_words(c), F.lit(" "))
     two = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 2), " ")
     probe = F.get(F.filter(F.slice(T.phrase_probes(F.col("text")), 1, 2), lambda t: F.length(t) >= 2), F.lit(0))
     phrases = read(spark, sf, "benchmark").select(spaced(two).alias("phrase"), probe.alias("probe")).distinct()
-    docs = read(spark, sf, "documents").select("doc_id", spaced(F.col("text")).alias("padded"), F.array_distinct(T.phrase_probes(F.col("text"))).alias("probes"))
-    # probes are few: a document's own are cut to them before it meets a phrase
-    known = phrases.agg(F.collect_set("probe").alias("known"))
-    docs = docs.crossJoin(F.broadcast(known)).select("doc_id", "padded", F.explode(F.array_intersect("probes", "known")).alias("probe"))
-    return phrases.join(docs, "probe").filter(F.col("padded").contains(F.col("phrase"))).groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    docs = read(spark, sf, "documents")
+    own = docs.select("doc_id", F.explode(F.array_distinct(T.phrase_probes(F.col("text")))).alias("probe"))
+    # texts only meet the phrases whose probe they have
+    found = phrases.join(own, "probe").select("doc_id", "phrase").distinct()
+    hits = found.join(docs.select("doc_id", spaced(F.col("text")).alias("padded")), "doc_id").filter(F.col("padded").contains(F.col("phrase")))
+    return hits.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""WITH {P}, k AS (SELECT conv_id, turn, list_distinct(list_concat(list_distinct(list_filter(regexp_extract_all(lower(prompt), '{TERM}'), lambda t: length(t) >= 2)), list_filter(regexp_extract_all(lower(prompt), '[\\p{{L}}\\p{{N}}_@/.-]+'), lambda t: length(t) >= 2))) AS ts FROM p)
@@ -341,10 +342,14 @@ PARAGRAPHS, SENTENCES = PARTS.format(parts="regexp_split_to_array(text, '\\n\\s*
 REPEATS = f"(len({FLAT.format(x=PARAGRAPHS)}) < len({PARAGRAPHS}) OR len({FLAT.format(x=SENTENCES)}) < len({SENTENCES}))"
 
 
-@query(f"SELECT doc_id FROM documents WHERE {REPEATS}")
+AGAIN = "This passage of a document comes once more, in other letters and with other blanks, as a paragraph."
+
+
+@query(f"WITH d AS (SELECT doc_id, text || CASE WHEN lang = 'de' THEN repeat(chr(10) || chr(10) || '{AGAIN}', 2) WHEN lang = 'fr' THEN chr(10) || chr(10) || '{AGAIN}' || chr(10) || chr(10) || upper('{AGAIN}') ELSE '' END AS text FROM documents) SELECT doc_id FROM d WHERE {REPEATS}")
 def repeated_passages(spark, sf):
-    """Documents with a paragraph or a long sentence that comes again."""
-    return read(spark, sf, "documents").filter(D.repeats_itself(F.col("text"))).select("doc_id")
+    """Documents with a paragraph or a long sentence that comes again; some get one."""
+    planted = F.when(F.col("lang") == "de", f"\n\n{AGAIN}" * 2).when(F.col("lang") == "fr", f"\n\n{AGAIN}\n\n{AGAIN.upper()}").otherwise("")
+    return read(spark, sf, "documents").withColumn("text", F.concat("text", planted)).filter(D.repeats_itself(F.col("text"))).select("doc_id")
 
 
 CITED = f"""r AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN conv_id % 9 = 0 THEN chr(10) || chr(10) || repeat('long paragraph of an answer ', 4) || chr(10) || chr(10) || repeat('Long paragraph  of an answer ', 4) ELSE '' END || CASE WHEN conv_id % 13 = 0 THEN repeat('x', 7000) ELSE '' END AS text,

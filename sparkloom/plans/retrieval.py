@@ -138,13 +138,9 @@ def personalization_adjust(spark, sf):
 @query(f"""WITH {CTE}, f AS (SELECT query, doc AS first FROM lex WHERE rank = 1), e AS (SELECT a.doc_id AS first, b.doc_id AS doc FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.doc_id <> b.doc_id)
 SELECT query, doc, rank FROM lex WHERE rank = 1 OR NOT EXISTS (SELECT 1 FROM f JOIN e USING (first) WHERE f.query = lex.query AND e.doc = lex.doc)""")
 def forbidden_filter(spark, sf):
-    """The first hit forbids others of its source and language. Only edges of hits are made."""
-    hits = lexical_hits(spark, sf)
+    """The first hit forbids others of its source and language."""
     info = docs_of(spark, sf).select("doc", "source", "lang")
-    tagged = hits.join(info, "doc")
-    first = tagged.filter("rank = 1").select("query", F.col("doc").alias("first"), "source", "lang")
-    edges = tagged.filter("rank > 1").join(first, ["query", "source", "lang"]).select(F.col("first").alias("doc"), F.col("doc").alias("other")).distinct()
-    return K.without_forbidden(hits, edges).select("query", "doc", "rank")
+    return K.unlike_first(lexical_hits(spark, sf).join(info, "doc"), ["source", "lang"]).select("query", "doc", "rank")
 
 
 @query(f"""WITH {CTE}, m AS (SELECT query, max(score) AS best FROM lex GROUP BY 1)
