@@ -54,6 +54,23 @@ def test_floor_keeps_every_row(spark):
     assert out.select("doc_id").distinct().count() == docs.count()
 
 
+def test_clashing_names_and_lacking_convergence(spark):
+    df = spark.createDataFrame([(i, "a b c d", "x", "y", "z") for i in range(6)], "doc_id long, text string, __times string, draw string, text_ string")
+    out = M.mixed(df, spark.createDataFrame([(1, "de"), (2, "en")], "doc_id long, domain string"), {"de": 1, "en": 1}, floor=1.0, scale=None)
+    assert out.columns == df.columns and {(r["__times"], r.draw, r["text_"]) for r in out.collect()} == {("x", "y", "z")}
+    rows = spark.createDataFrame([(10, 0.9, 0.1), (10, 0.2, 0.8)], "tokens long, p0 double, p1 double")
+    with pytest.raises(RuntimeError, match="settle"):
+        M.solve(rows, ["a", "b"], {"a": 0.9, "b": 0.1}, steps=2)
+
+
+def test_scale_that_needs_no_dropping(spark):
+    rows = spark.createDataFrame([(60, 1.0, 0.0), (40, 0.0, 1.0)], "tokens long, p0 double, p1 double")
+    scale = M.reach(rows, ["a", "b"], {"a": 0.3, "b": 0.7})
+    assert abs(scale - 2.0) < 1e-9
+    found = M.solve(rows, ["a", "b"], {"a": 0.3, "b": 0.7}, 1.0, scale)
+    assert found.residual < 1e-2 and found.steps.rates(np.array([[1.0, 0.0], [0.0, 1.0]]))[0].min() >= 1
+
+
 def test_odd_rows(spark):
     rows = [(None, None, "en"), (1, "", "en"), (2, "a b c", "de"), (2, "a b c", "de"), (3, "x " * 50000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
