@@ -28,9 +28,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the lines that went, and the digest of the text that is left."""
     from sparkloom.llm.line_dedup import line_dedup
 
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before")))
-    n_lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
-    return out.select("doc_id", F.coalesce(n_lines(F.col("before")), F.lit(0)).cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines")))
+    return out.select("doc_id", "n_lines", F.col("__removed").cast("long").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
