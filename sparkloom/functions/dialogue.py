@@ -11,7 +11,6 @@ from sparkloom.functions import text as T
 
 # What the rules look for.
 STAGE_PATTERNS = [r"사이클\s*(\d+)", r"cycle\s*(\d+)", r"step\s*(\d+)", r"(\d+)\s*단계"]
-MISSION_STOPWORDS = ["java", "kotlin", "javascript", "js", "react", "spring", "android", "backend", "frontend", "mission", "woowacourse"]
 GENERIC_SYMPTOMS = ["안", "왜", "뭐", "어떻게", "그", "이", "저", "게", "거", "것", "the", "a", "an", "is", "are", "what", "why", "how"]
 INTENT_PATTERNS = [
     ("comparison", r"\bvs\b|차이|다른\s*점|어느\s*게\s*더|비교"),

@@ -59,19 +59,19 @@ def by_axes(rows: DataFrame, axes: list[str], measure: str) -> DataFrame:
 def nearest_rank(rows: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:
     """p50 = sorted[n // 2], p95 = sorted[round half even(.95 (n - 1))], without interpolation. Rows are counted by bins
     of equal width first; only the values of the two bins that hold the ranks are then ranked, so no group is sorted."""
-    own = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
-    ends = own.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    own = rows.filter(F.col(value).isNotNull()).select(F.col(by).alias("own"), F.col(value).alias("v"))
+    ends = own.groupBy("own").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
     place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * bins))
-    binned = own.join(ends, by).withColumn("bin", F.coalesce(place, F.lit(0)))
-    counts = binned.groupBy(by, "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    w = Window.partitionBy(by).orderBy("bin")  # at most as many rows as bins
+    binned = own.join(ends, "own").withColumn("bin", F.coalesce(place, F.lit(0)))
+    counts = binned.groupBy("own", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    w = Window.partitionBy("own").orderBy("bin")  # at most as many rows as bins
     upto = counts.withColumn("upto", F.sum("k").over(w)).withColumn("before", F.col("upto") - F.col("k"))
     ranks = F.array(F.struct(F.lit("p50").alias("name"), (F.floor(F.col("n") / 2) + 1).alias("rank")), F.struct(F.lit("p95").alias("name"), (F.bround(0.95 * (F.col("n") - 1), 0) + 1).cast("long").alias("rank")))
-    wanted = upto.select(by, "bin", "before", "upto", "n", F.explode(ranks).alias("r")).filter((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("upto"))).select(by, "bin", "n", F.col("r.name").alias("name"), (F.col("r.rank") - F.col("before")).alias("place"))
-    inside = binned.select(by, "bin", "v").join(wanted, [by, "bin"])
-    found = inside.withColumn("r", F.row_number().over(Window.partitionBy(by, "name").orderBy("v"))).filter(F.col("r") == F.col("place"))
+    wanted = upto.select("own", "bin", "before", "upto", "n", F.explode(ranks).alias("r")).filter((F.col("r.rank") > F.col("before")) & (F.col("r.rank") <= F.col("upto"))).select("own", "bin", "n", F.col("r.name").alias("name"), (F.col("r.rank") - F.col("before")).alias("place"))
+    inside = binned.select("own", "bin", "v").join(wanted, ["own", "bin"])
+    found = inside.withColumn("r", F.row_number().over(Window.partitionBy("own", "name").orderBy("v"))).filter(F.col("r") == F.col("place"))
     pick = lambda name: F.max(F.when(F.col("name") == name, F.col("v"))).alias(name)
-    return found.groupBy(by).agg(F.max("n").alias("n"), pick("p50"), pick("p95"))
+    return found.groupBy("own").agg(F.max("n").alias("n"), pick("p50"), pick("p95")).withColumnRenamed("own", by)
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[int]) -> DataFrame:

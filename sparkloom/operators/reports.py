@@ -76,8 +76,9 @@ def ablation(hits: DataFrame, names: list[str]) -> DataFrame:
 def interpolated(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Interpolated median and 95th percentile with the extremes. Equal values are counted first, so that a group's
     list is as long as its distinct values."""
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    return counted.groupBy(by).agg(F.percentile("v", 0.5, F.col("k")).alias("p50"), F.percentile("v", 0.95, F.col("k")).alias("p95"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("k").alias("n"))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("own"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    out = counted.groupBy("own").agg(F.percentile("v", 0.5, F.col("k")).alias("p50"), F.percentile("v", 0.95, F.col("k")).alias("p95"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("k").alias("n"))
+    return out.withColumnRenamed("own", by)
 
 
 def recommended(sweep: DataFrame) -> DataFrame:
