@@ -22,14 +22,17 @@ NGRAM, PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps: not those without words. Rows that repeat an id share its annotation."""
     return keep_good(docs, fit(docs, Q.table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the repeated line runs; what is left blank by that goes."""
-    out = line_dedup(docs).filter((F.col("__removed") == 0) | (F.trim(F.regexp_replace("text", r"[\t-\r]", " ")) != ""))
-    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents without the repeated line runs; what is left blank by that goes. Null and empty texts, which lose
+    nothing, stay; n_chars is counted anew where lines went."""
+    out = line_dedup(docs)
+    removed = F.col(out.columns[-1])
+    out = out.filter((removed == 0) | (F.trim(F.regexp_replace("text", r"[\t-\r]", " ")) != ""))
+    return out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
+    """Pieces of token windows; an empty table gives none."""
     return pack(docs, Q.tokenizer_path())
 
 
