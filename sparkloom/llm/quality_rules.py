@@ -41,9 +41,9 @@ MAX_REPEAT_PERCENT = 30
 #: Documents that a group's parent weighs as in the group's estimate.
 PRIOR = 32.0
 FIRST_STEPS = 2
-#: Further steps at most; each one only lowers the determinant, and they end when no logarithm moves by more than SETTLED.
+#: Further steps at most; they end when no group's determinant falls by more than this share.
 STEPS = 30
-SETTLED = 1e-6
+SETTLED = 1e-3
 TAIL = 1e-6
 BINS_PER_OCTAVE = 64
 #: Medians and quartiles are of values rounded to so many parts of one.
@@ -258,21 +258,20 @@ def fit(points: DataFrame) -> DataFrame:
     for _ in range(FIRST_STEPS):
         old, now = now, concentrated(points, now)
         X.dropped(old)
-    best = now.groupBy("group").agg(F.min_by(F.struct("start", "n", "center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
-    old, now = now, X.written(best, "mcd")
+    names = ["start", "n", "center", "cov", "inverse", "logdet"]
+    least = lambda rows: rows.groupBy("group").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
+    old, now = now, X.written(least(now), "mcd")
     X.dropped(old)
     for _ in range(STEPS):
         after = concentrated(points, now)
-        # a step that can't lower the determinant is not taken
-        pair = now.alias("a").join(after.alias("b"), "group")
-        better = F.col("b.logdet") < F.col("a.logdet")
-        moved = pair.agg(F.max(F.col("a.logdet") - F.col("b.logdet")).alias("d")).first()["d"]
-        kept = X.written(pair.select("group", *(F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in now.columns[1:])), "mcd")
-        X.dropped(now, after)
-        now = kept
+        fell = F.col("was") - F.col("logdet")
+        moved = after.join(now.select("group", F.col("logdet").alias("was")), "group").agg(F.max(fell).alias("d")).first()["d"]
         if moved is None or moved <= SETTLED:
             break
-    return now
+        X.dropped(now)
+        now = after
+    # a step that gained nothing, as spreads have a floor, is not taken
+    return X.written(least(now.unionByName(after)), "mcd")
 
 
 def drawn_to(model: DataFrame, cells: DataFrame, levels: int) -> DataFrame:
