@@ -194,6 +194,40 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+N_BATCHES = 20
+
+
+def document_changes(docs: DataFrame) -> DataFrame:
+    """Documents that enter, leave and enter again by the CRC-32 of their ids (of the empty text for a null id)."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    b, q = F.pmod(h, F.lit(N_BATCHES)), F.pmod(F.floor(h / N_BATCHES), F.lit(4))
+    change = lambda when, sign, value: F.struct(when.cast("int").alias("batch"), F.lit(sign).alias("sign"), value.cast("long").alias("value"))
+    n = F.col("n_chars")
+    events = F.array(change(b, 1, n), change(b + q, -1, n), F.when(q % 3 == 0, change(b + q, 1, n + q)))
+    texts = F.unhex(F.sha2("text", 256))
+    out = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")), texts.alias("item"), F.explode(events).alias("e"))
+    return out.select("source", "lang", "item", "e.batch", "e.sign", "e.value").filter(F.col("batch") < N_BATCHES)
+
+
+def op12_incremental_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches and groups in which an aggregate changes; different texts are told by their SHA-256."""
+    from sparkloom.llm.counted_tree import maintain
+
+    return maintain(document_changes(table(spark, sf_dir, "documents")), ["source", "lang"])
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can say."""
     return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -215,6 +249,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_tiff": op9_tiff,
     "op10_ctw": op10_ctw,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_incremental_aggregates": op12_incremental_aggregates,
+    "op13_exact_dedup": op13_exact_dedup,
     "quality_base_columns": quality_base_columns,
     "media_payload_columns": media_payload_columns,
 }
@@ -223,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Deletion of lines said another way: each line begins (and ends) a shortest run with 8 words, and goes where that run
 #: also stands earlier. Every longer run is a union of such runs that all stand earlier too.
 RUN = "list_filter(range(1, len({n}) + 1), lambda k: list_sum({n}[1:k]) >= 8)[1]"
@@ -269,4 +307,26 @@ c AS (SELECT p.doc_id, n, i, b, max(CASE WHEN m < p.doc_id THEN 1 ELSE 0 END) OV
 h AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM c),
 g AS (SELECT doc_id, cast(sum(gone) AS BIGINT) AS n_removed, count_if(gone = 1 AND before = 0) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM h GROUP BY 1)
 SELECT d.doc_id, octet_length(encode(coalesce(d.text, ''))) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op11_ranked_search": rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS w FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), c AS (SELECT count(*) AS nd, cast(sum(n) AS BIGINT) AS nl FROM n),
+f AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM f GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS w FROM benchmark),
+x AS (SELECT item_id, f.doc_id, cast(sum(cast(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nl)))) AS BIGINT) AS score FROM q JOIN f ON q.w = f.w JOIN d ON d.w = f.w JOIN n ON n.doc_id = f.doc_id, c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, cast(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op12_incremental_aggregates": """WITH RECURSIVE z AS (SELECT i, 0 AS k, cast(i AS BIGINT) AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM z WHERE k < 8),
+y AS (SELECT doc_id, coalesce(cast(doc_id AS VARCHAR), '') AS s, 0 AS k, cast(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents) t UNION ALL
+SELECT y.doc_id, s, y.k + 1, xor(y.c >> 8, z.c) FROM y JOIN z ON z.k = 8 AND z.i = xor(y.c & 255, ascii(s[y.k + 1])) WHERE y.k < length(s)),
+h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM y WHERE k = length(s)),
+d AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, text, n_chars, h % 20 AS b, (h // 20) % 4 AS q FROM documents JOIN h ON documents.doc_id IS NOT DISTINCT FROM h.doc_id),
+p AS (SELECT source, lang, text, n_chars, b AS a, CASE q WHEN 0 THEN 20 ELSE b + q END AS e FROM d UNION ALL SELECT source, lang, text, n_chars + 3, b + 3, 20 FROM d WHERE q = 3),
+r AS (SELECT source, lang, text, n_chars, unnest(range(a, least(e, 20))) AS batch FROM p WHERE a < 20),
+g AS (SELECT source, lang, batch, count(*) AS n_rows, count(DISTINCT text) AS n_distinct, cast(coalesce(sum(n_chars), 0) AS BIGINT) AS total, min(n_chars) AS least, max(n_chars) AS greatest, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[count(n_chars) // 2 + 1] AS median FROM r GROUP BY 1, 2, 3),
+f AS (SELECT source, lang, batch, coalesce(n_rows, 0) AS n_rows, coalesce(n_distinct, 0) AS n_distinct, coalesce(total, 0) AS total, least, greatest, median FROM (SELECT DISTINCT source, lang, b.i AS batch FROM d, range(20) b(i)) t LEFT JOIN g USING (source, lang, batch)),
+o AS (SELECT *, coalesce(lag(n_rows) OVER w, 0) AS o1, coalesce(lag(n_distinct) OVER w, 0) AS o2, coalesce(lag(total) OVER w, 0) AS o3, lag(least) OVER w AS o4, lag(greatest) OVER w AS o5, lag(median) OVER w AS o6 FROM f WINDOW w AS (PARTITION BY source, lang ORDER BY batch))
+SELECT cast(batch AS INTEGER) AS batch, source, lang, o1 AS old_n_rows, n_rows AS new_n_rows, o2 AS old_n_distinct, n_distinct AS new_n_distinct, o3 AS old_total, total AS new_total, o4 AS old_least, least AS new_least, o5 AS old_greatest, greatest AS new_greatest, o6 AS old_median, median AS new_median FROM o
+WHERE o1 <> n_rows OR o2 <> n_distinct OR o3 <> total OR o4 IS DISTINCT FROM least OR o5 IS DISTINCT FROM greatest OR o6 IS DISTINCT FROM median""",
+    "op13_exact_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+k AS (SELECT doc_id, x, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM k""",
 }
