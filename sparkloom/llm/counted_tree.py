@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import exchange as X
 
-LEAF_BITS, NODE_BITS = 6, 6
+LEAF_BITS, NODE_BITS = 5, 5
 STATS = ("n_rows", "n_distinct", "total", "least", "greatest", "median")
 LEAST, MEDIAN, GREATEST = 0, 1, 2
 
