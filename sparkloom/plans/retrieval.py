@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
+from sparkloom.operators import postings as P
 from sparkloom.operators import ranking as K
 from sparkloom.operators import retrieval as R
+from sparkloom.plans import indexes
 from sparkloom.plans.base import query, read
 from sparkloom.plans.texts import TERM
 
@@ -35,7 +37,22 @@ def docs_of(spark, sf):
 
 
 def lexical_hits(spark, sf):
-    return R.lexical(queries_of(spark, sf), docs_of(spark, sf), {"title": 30, "body": 10})
+    """Best 20 by the weights of title and body."""
+    asked = weighted(queries_of(spark, sf), {f: indexes.FIELD_WEIGHTS[f] for f in ("title", "body")})
+    return P.best(indexes.fields(spark, sf), asked, 20).select("query", "doc", "score", "rank")
+
+
+def weighted(terms, weights):
+    """(query, field, term, weight) of (query, term)."""
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*map(F.lit, weights.values())))).alias("field", "weight")
+    return terms.select("query", "term", each)
+
+
+def body_of(spark, sf, terms=None):
+    """(doc, term, weight) of the bodies, of some terms (term) only if given."""
+    index = indexes.fields(spark, sf)
+    lists = index.of_terms(terms, "body") if terms is not None else index.lists.filter("field = 'body'")
+    return index.postings(lists).select("doc", "term", F.col("tf").cast("long").alias("weight"))
 
 
 def counted(df, key, name):
@@ -44,7 +61,9 @@ def counted(df, key, name):
 
 
 def sparse_hits(spark, sf):
-    return R.sparse(counted(read(spark, sf, "benchmark"), "item_id", "query"), counted(read(spark, sf, "documents"), "doc_id", "doc"))
+    """Best 100 by the dot product of counts."""
+    asked = counted(read(spark, sf, "benchmark"), "item_id", "query").withColumn("field", F.lit("body"))
+    return P.best(indexes.fields(spark, sf), asked, 100, counted=["body"]).select("query", "doc", "score", "n_terms", "rank")
 
 
 @query(f"WITH {CTE} SELECT query, doc, score, rank FROM lex")
@@ -52,6 +71,20 @@ def lexical_topk(spark, sf):
     return lexical_hits(spark, sf).select("query", "doc", "score", "rank")
 
 
+FIELDS = f"""q AS (SELECT DISTINCT item_id AS query, t AS term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM benchmark) x WHERE length(t) >= 2),
+l AS (SELECT doc_id AS doc, text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+p AS (SELECT doc, 'title' AS field, 30 AS weight, x[1] AS t FROM l UNION ALL SELECT doc, 'section', 20, x[2] FROM l UNION ALL SELECT doc, 'aliases', 25, unnest(x[3:5]) FROM l UNION ALL SELECT doc, 'body', 10, text FROM l),
+w AS (SELECT doc, field, weight, unnest(list_distinct(list_filter(regexp_extract_all(lower(t), '{TERM}'), lambda y: length(y) >= 2))) AS term FROM p),
+s AS (SELECT query, field, doc, cast(sum(weight) AS BIGINT) AS score FROM w JOIN q USING (term) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {FIELDS} SELECT * FROM (SELECT query, field, doc, score, row_number() OVER (PARTITION BY query, field ORDER BY score DESC, doc) AS rank FROM s) t WHERE rank <= 20")
+def lexical_fields_topk(spark, sf):
+    """The best 20 of each of four fields; a term of several aliases counts for each."""
+    asked = weighted(queries_of(spark, sf), indexes.FIELD_WEIGHTS)
+    return P.best(indexes.fields(spark, sf), asked, 20, counted=["aliases"], per_field=True).select("query", "field", "doc", "score", "rank")
+
+
 @query(f"WITH {TF} SELECT query, doc, score, n_terms, rank FROM sp")
 def sparse_dot_topk(spark, sf):
     return sparse_hits(spark, sf).select("query", "doc", "score", "n_terms", "rank")
@@ -78,7 +111,8 @@ def signal_match(spark, sf):
 @query(f"""WITH {CTE}, n AS (SELECT query, count(*) AS size FROM q GROUP BY 1), s AS (SELECT query, doc, count(*) AS shared FROM q JOIN body USING (term) GROUP BY 1, 2)
 SELECT * FROM (SELECT query, doc, cast(floor(100 * shared / size) AS BIGINT) AS score, row_number() OVER (PARTITION BY query ORDER BY cast(floor(100 * shared / size) AS BIGINT) DESC, doc) AS rank FROM s JOIN n USING (query) WHERE 100 * shared >= 34 * size) t WHERE rank <= 10""")
 def symptom_overlap(spark, sf):
-    return R.overlap(queries_of(spark, sf), R.terms(docs_of(spark, sf), "doc", F.col("body"), "doc"))
+    asked = queries_of(spark, sf)
+    return R.overlap(asked, body_of(spark, sf, asked))
 
 
 @query("""WITH b AS (SELECT p_partkey AS doc, p_type, cast(p_name LIKE '%red%' AS INTEGER) + cast(p_name LIKE '%widget%' AS INTEGER) AS hits FROM part),
@@ -154,9 +188,9 @@ h AS (SELECT query, doc, rank, row_number() OVER (PARTITION BY query ORDER BY co
 SELECT query, doc, rank, row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE / (60 + mr) + 1.0::DOUBLE / (60 + rank) DESC, rank) AS final_rank FROM h UNION ALL SELECT query, doc, rank, rank FROM lex WHERE rank > 10""")
 def rerank_rank_fusion(spark, sf):
     """The model is the number of query terms in the text; a learned one takes its place as a column."""
-    body = R.terms(docs_of(spark, sf), "doc", F.col("body"), "doc").distinct()
-    model = queries_of(spark, sf).join(body, "term").groupBy("query", "doc").agg(F.count("*").alias("coverage"))
-    hits = lexical_hits(spark, sf).join(model, ["query", "doc"], "left")
+    asked, hits = queries_of(spark, sf), lexical_hits(spark, sf)
+    model = hits.select("query", "doc").join(asked, "query").join(body_of(spark, sf, asked), ["doc", "term"]).groupBy("query", "doc").agg(F.count("*").alias("coverage"))
+    hits = hits.join(model, ["query", "doc"], "left")
     return K.rank_fused(hits, F.coalesce(F.col("coverage"), F.lit(0)), 10)
 
 
@@ -176,6 +210,6 @@ def near_duplicates(spark, sf):
 s AS (SELECT query, term, tf, cast(floor((tf / size) * ln((tf / size + 1e-6) / (cf / total + 1e-6)) * 1000000 + 0.5) AS BIGINT) AS score FROM ps JOIN sz USING (query) JOIN cf USING (term), tot WHERE tf >= 2 AND NOT EXISTS (SELECT 1 FROM q WHERE q.query = ps.query AND q.term = ps.term))
 SELECT * FROM (SELECT query, term, tf, row_number() OVER (PARTITION BY query ORDER BY score DESC, term) AS rank FROM s WHERE score > 0) t WHERE rank <= 8""")
 def rm3_expansion(spark, sf):
-    docs = counted(read(spark, sf, "documents"), "doc_id", "doc")
+    docs = body_of(spark, sf)
     top = lexical_hits(spark, sf).filter("rank <= 5").join(docs, "doc")
     return R.feedback_terms(top.select("query", "term", "weight"), docs.select("term", "weight"), queries_of(spark, sf)).select("query", "term", "tf", "rank")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import retrieval as R
+from sparkloom.operators import postings as P
+from sparkloom.plans import indexes
 from sparkloom.plans.base import query, read
 
 TERM = T.RETRIEVAL_TOKEN
@@ -16,17 +17,17 @@ PADDED = f"' ' || array_to_string(regexp_extract_all({FOLD}, '{WORDS}'), ' ') ||
 
 @query(f"SELECT doc_id, source FROM documents WHERE {PADDED} LIKE '% the %' AND {PADDED} LIKE '% and %'")
 def fts_match_and(spark, sf):
-    return R.full_text(read(spark, sf, "documents"), ["the", "and"]).select("doc_id", "source")
+    return P.matching(indexes.words(spark, sf), ["the", "and"]).select(F.col("doc").alias("doc_id"), "source")
 
 
 @query(f"SELECT doc_id, source FROM documents WHERE {PADDED} LIKE '% of the %'")
 def fts_phrase(spark, sf):
-    return R.full_text(read(spark, sf, "documents"), ["of", "the"], phrase=True).select("doc_id", "source")
+    return P.matching(indexes.words(spark, sf), ["of", "the"], phrase=True).select(F.col("doc").alias("doc_id"), "source")
 
 
 @query(f"SELECT source, count(*) AS n FROM documents WHERE {PADDED} LIKE '% license %' GROUP BY 1 ORDER BY n DESC, source LIMIT 10")
 def fts_top_paths(spark, sf):
-    return R.full_text(read(spark, sf, "documents"), ["license"]).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
+    return P.matching(indexes.words(spark, sf), ["license"]).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
 @query(f"""SELECT item_id, count(DISTINCT t) AS n_terms, string_agg(DISTINCT t, ',' ORDER BY t) AS terms FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM benchmark) x WHERE length(t) >= 2 GROUP BY 1""")
