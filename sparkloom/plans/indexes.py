@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import cells as C
 from sparkloom.operators import postings as P
 from sparkloom.plans.base import read
 from sparkloom.sources.stored import stored
@@ -32,3 +33,9 @@ def fields(spark, sf) -> P.Index:
         "body": F.filter(T.all_matches(F.lower("text"), T.RETRIEVAL_TOKEN), lambda t: F.length(t) >= 2),
     }
     return P.opened(spark, stored(docs, "fields", "1", lambda path: P.build(docs, path, "doc_id", own)))
+
+
+def vectors(spark, sf) -> C.Cells:
+    """The embeddings in cells."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    return C.opened(spark, stored(rows, "cells", "1", lambda path: C.build(rows, path)))

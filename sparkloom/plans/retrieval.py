@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
+from sparkloom.operators import cells as C
 from sparkloom.operators import postings as P
 from sparkloom.operators import ranking as K
 from sparkloom.operators import retrieval as R
@@ -92,10 +93,18 @@ def sparse_dot_topk(spark, sf):
 
 @query(f"""SELECT * FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS doc, cast(floor(({COS}) * 1000000 + 0.5) AS BIGINT) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) s WHERE score > 0) t WHERE rank <= 20""")
 def dense_topk_every50(spark, sf):
-    """Every vector whose id is divisible by 50 against all vectors: queries grow with the table."""
-    rows = read(spark, sf, "embeddings")
-    hits = R.dense(rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), rows.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), 20)
-    return hits.select("query", "doc", "rank")
+    """Every vector whose id is divisible by 50 against all vectors that can be among its nearest."""
+    return C.exact_nearest(indexes.vectors(spark, sf), every50(spark, sf), 20).select("query", "doc", "rank")
+
+
+def every50(spark, sf):
+    return read(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query()
+def dense_cells_every50(spark, sf):
+    """The same queries in the nearest cells only; at least nine of ten of the exact neighbours are found."""
+    return C.nearest(indexes.vectors(spark, sf), every50(spark, sf), 20).select("query", "doc", "rank")
 
 
 @query("""WITH q AS (SELECT DISTINCT n_nationkey AS query, unnest(['lang:' || CASE n_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END, 'source:src' || cast(n_nationkey % 20 AS VARCHAR)]) AS tag FROM nation),
@@ -200,10 +209,38 @@ COPIES = "v AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT
 @query(f"WITH {COPIES} SELECT a.vec_id AS doc_a, b.vec_id AS doc_b, a.label FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE cast(floor((" + COS + ") * 1000000 + 0.5) AS BIGINT) >= 920000")
 def near_duplicates(spark, sf):
     """All vectors and, beside those of most labels, a copy that is shorter and a little turned."""
+    return R.near_duplicates(turned_copies(spark, sf), 0.92).select("doc_a", "doc_b", F.col("scope").alias("label"))
+
+
+def turned_copies(spark, sf):
     rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("label").alias("scope"), F.col("embedding").alias("vector"))
     turned = F.transform("vector", lambda x, i: (x.cast("double") * 0.9 + F.when(i == 0, 0.01).otherwise(0.0)).cast("float"))
-    every = rows.unionByName(rows.filter("scope <> 0").select((F.col("doc") + 10_000_000).alias("doc"), "scope", turned.alias("vector")))
-    return R.near_duplicates(every, 0.92).select("doc_a", "doc_b", F.col("scope").alias("label"))
+    return rows.unionByName(rows.filter("scope <> 0").select((F.col("doc") + 10_000_000).alias("doc"), "scope", turned.alias("vector")))
+
+
+CHUNKS = f"""{COPIES}, c AS (SELECT vec_id - vec_id % 2 AS path, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM v),
+p AS (SELECT path, i, avg(cast(x AS DOUBLE)) AS x FROM c GROUP BY 1, 2), m AS (SELECT path, list(x ORDER BY i) AS embedding FROM p GROUP BY 1)"""
+
+
+def chunk_means(spark, sf):
+    """Mean vectors of paths of two chunks each; most have a copy that is shorter and a little turned."""
+    chunks = turned_copies(spark, sf).select((F.col("doc") - F.col("doc") % 2).alias("path"), "vector")
+    return C.means(chunks).select(F.col("path").alias("doc"), "vector")
+
+
+@query(f"WITH {CHUNKS} SELECT a.path AS doc_a, b.path AS doc_b FROM m a JOIN m b ON a.path < b.path WHERE cast(floor((" + COS + ") * 1000000 + 0.5) AS BIGINT) >= 920000")
+def near_duplicates_everywhere(spark, sf):
+    """Pairs of paths whose mean vectors are near, without a scope."""
+    return C.near_pairs(chunk_means(spark, sf), 0.92).select("doc_a", "doc_b")
+
+
+@query("""WITH v AS (SELECT vec_id AS doc, embedding FROM embeddings UNION ALL SELECT vec_id + 20000000, embedding FROM embeddings WHERE label < 4 UNION ALL SELECT vec_id + 30000000, embedding FROM embeddings WHERE label = 0)
+SELECT doc, min(doc) OVER (PARTITION BY embedding) AS rep FROM v""")
+def vector_representatives(spark, sf):
+    """Equal vectors are told by their smallest id; some labels' vectors stand there again."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
+    more = [rows.filter(f).withColumn("doc", F.col("doc") + n) for f, n in (("label < 4", 20_000_000), ("label = 0", 30_000_000))]
+    return C.representatives(rows.unionByName(more[0]).unionByName(more[1]).select("doc", "vector"))
 
 
 @query(f"""WITH {CTE}, {TF}, ps AS (SELECT query, term, cast(sum(own) AS BIGINT) AS tf FROM lex JOIN dt USING (doc) WHERE rank <= 5 GROUP BY 1, 2), sz AS (SELECT query, sum(tf) AS size FROM ps GROUP BY 1), cf AS (SELECT term, sum(own) AS cf FROM dt GROUP BY 1), tot AS (SELECT sum(own) AS total FROM dt),
