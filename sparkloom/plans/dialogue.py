@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import dialogue as D
 from sparkloom.functions import text as T
+from sparkloom.operators import aliases as A
 from sparkloom.functions.text import RETRIEVAL_TOKEN as TERM
 from sparkloom.plans.base import query, read
 
@@ -99,6 +100,20 @@ def concept_mentions(spark, sf):
     return out.select("conv_id", "turn", F.array_join("ids", ",").alias("concepts"), F.array_join(F.slice("ids", 1, 2), " / ").alias("first_two"))
 
 
+ALIASES = "a AS (SELECT DISTINCT item_id AS concept, unnest(list_filter(regexp_extract_all(text, '[^\\x09-\\x0D .,]+'), lambda x: length(x) >= 4)) AS alias FROM benchmark)"
+
+
+@query(rf"""WITH {ALIASES}, k AS (SELECT DISTINCT concept, lower(alias) AS alias, regexp_full_match(alias, '[\x00-\x7F]*') AS plain FROM a), u AS (SELECT DISTINCT alias, plain FROM k),
+d AS (SELECT doc_id, lower(text) AS t, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS ws FROM documents),
+f AS (SELECT doc_id, alias FROM (SELECT doc_id, unnest(ws) AS alias FROM d) w SEMI JOIN (SELECT alias FROM u WHERE plain) p USING (alias) UNION ALL SELECT doc_id, alias FROM d, u WHERE NOT plain AND contains(t, alias))
+SELECT doc_id, concept, count(DISTINCT alias) AS n FROM f JOIN k USING (alias) GROUP BY 1, 2""")
+def alias_concepts(spark, sf):
+    """The words of every item are its aliases: which items each document mentions, and by how many of them."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x09-\x0D .,]+"), F.lit(0))
+    aliases = read(spark, sf, "benchmark").select(F.col("item_id").alias("concept"), F.explode(F.filter(words, lambda x: F.length(x) >= 4)).alias("alias"))
+    return A.by_concept(A.mentioned(read(spark, sf, "documents").select("doc_id", "text"), aliases), aliases, "doc_id")
+
+
 SAFE = f"lower(phrase) NOT IN ({', '.join(repr(w) for w in D.PHRASE_STOPLIST)}) AND length(phrase) >= 2 AND (NOT (regexp_full_match(phrase, '[\\x00-\\x7F]{{1,2}}') AND NOT regexp_matches(phrase, '[0-9]')) OR (upper(phrase) = phrase AND regexp_matches(phrase, '[A-Z]')))"
 
 
