@@ -51,15 +51,6 @@ def cutover_compare(spark, sf):
     return out.withColumn("delta", F.coalesce("candidate", F.lit(0)) - F.coalesce("base", F.lit(0)))
 
 
-@query("""WITH m AS (SELECT unnest(['dense', 'fts', 'signal', 'sparse']) AS name) SELECT a.name AS modalities, cast(1 AS BIGINT) AS n FROM m a UNION ALL SELECT a.name || ',' || b.name, 2 FROM m a JOIN m b ON a.name < b.name UNION ALL SELECT string_agg(name, ',' ORDER BY name), 4 FROM m""")
-def modality_powerset(spark, sf):
-    """Singles, pairs and all of four."""
-    m = spark.createDataFrame([(x,) for x in ("dense", "fts", "signal", "sparse")], "name string")
-    pairs = m.alias("a").join(m.alias("b"), F.col("a.name") < F.col("b.name")).select(F.concat_ws(",", "a.name", "b.name").alias("modalities"), F.lit(2).cast("long").alias("n"))
-    every = m.agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("modalities")).withColumn("n", F.lit(4).cast("long"))
-    return m.select(F.col("name").alias("modalities"), F.lit(1).cast("long").alias("n")).unionByName(pairs).unionByName(every)
-
-
 @query("""SELECT label, i, count(*) AS n, cast(floor(sum(cast(floor(cast(v AS DOUBLE) * 1000000 + 0.5) AS BIGINT)) / count(*)) AS BIGINT) AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings) t GROUP BY 1, 2""")
 def mean_vector(spark, sf):
     """Element-wise means of a scope's vectors, in millionths."""

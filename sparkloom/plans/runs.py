@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import evaluation as E
 from sparkloom.operators import reports as R
+from sparkloom.operators import selection as S
+from sparkloom.plans import indexes
 from sparkloom.plans.base import query, read
 from sparkloom.plans.evaluation import JUDGED, METRICS, judged
-from sparkloom.plans.retrieval import CTE, TF, lexical_hits, sparse_hits
+from sparkloom.plans.retrieval import CTE, FIELDS, TF, lexical_fields_topk, lexical_hits, sparse_hits
+from sparkloom.sources.stored import cut
 
 MILLION = "cast(floor({x} * 1000000 + 0.5) AS BIGINT)"
 
@@ -80,51 +83,111 @@ def run_report_json(spark, sf):
     return rows.select(F.to_json(F.struct("*")).alias("report"))
 
 
-#: Runs of candidate models over the same queries: name, macro gain (millionths), failures, forbidden rate, p95 ms, MB.
-RUNS = [("base", 700_000, 4, 10_000, 120, 600), ("small", 735_000, 4, 9_000, 90, 150), ("large", 748_000, 3, 10_000, 190, 2200), ("huge", 790_000, 4, 10_000, 260, 5000), ("leaky", 760_000, 5, 12_000, 100, 900), ("tiny", 705_000, 4, 8_000, 40, 60), ("twin", 735_000, 4, 9_000, 80, 150)]
-RUN_SQL = "r(name, gain, failures, forbidden, p95, mb) AS (VALUES " + ", ".join(str(r) for r in RUNS) + ")"
-BUCKETS = [(n, c, g - d * (i % 3 - 1) * 40_000, 3 + 4 * i) for i, c in enumerate(("net", "db", "os", "lang")) for n, g, *_ in RUNS if not (n == "tiny" and c == "os") for d in (1 if n in ("huge", "leaky") else 0,)]
-BUCKET_SQL = "k(name, bucket, gain, n) AS (VALUES " + ", ".join(str(b) for b in BUCKETS) + ")"
+#: Every set of fields is a run: the best 20 of its fields, fused; judged by the documents that any field finds.
+POOL = "CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 AND doc % 5 = query % 5 THEN 3 WHEN quality = 1 THEN 1 ELSE 0 END"
+RUNS = f"""{FIELDS}, lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, field ORDER BY score DESC, doc) AS rank FROM s) t WHERE rank <= 20),
+ms AS (SELECT list_sort(list(DISTINCT field)) AS ns FROM lf), mk AS (SELECT ns, unnest(range(1, (1 << len(ns)))) AS mask FROM ms), st AS (SELECT list_filter(ns, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS parts FROM mk WHERE bit_count(mask) <= 2 OR bit_count(mask) = len(ns)),
+sets AS (SELECT array_to_string(parts, ',') AS run, len(parts) AS n, parts FROM st), x AS (SELECT query, run, doc, cast(sum(1000000000000 // (60 + rank)) AS BIGINT) AS score FROM lf JOIN (SELECT run, unnest(parts) AS field FROM sets) p USING (field) GROUP BY 1, 2, 3),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, run ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query, run) AS candidates FROM x) t WHERE rank <= 20),
+j AS (SELECT query, doc, {POOL} AS grade FROM (SELECT DISTINCT query, doc FROM lf) t JOIN labels ON doc = doc_id),
+id AS (SELECT query, sum(CASE WHEN r <= 10 THEN {MILLION.format(x='1 / log2(r + 1)')} END) AS ideal FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY doc) AS r FROM j WHERE grade = 3) t GROUP BY 1),
+h AS (SELECT query, run, sum(CASE WHEN grade = 3 AND rank <= 10 THEN {MILLION.format(x='1 / log2(rank + 1)')} END) AS got, min(CASE WHEN grade = 3 THEN rank END) AS first, count_if(grade = -1 AND rank <= 5) AS bad FROM rk JOIN j USING (query, doc) GROUP BY 1, 2),
+pq AS (SELECT id.query, sets.run, cast(floor(1000000 * coalesce(got, 0) / ideal) AS BIGINT) AS gain, coalesce(first > 5, true) AS failed, coalesce(bad, 0) AS bad FROM id CROSS JOIN sets LEFT JOIN h ON h.query = id.query AND h.run = sets.run),
+bk AS (SELECT run, axis, bucket, count(*) AS n, cast(floor(sum(gain) / count(*)) AS BIGINT) AS gain FROM (SELECT run, gain, 'category' AS axis, 'c' || cast(query % 5 AS VARCHAR) AS bucket FROM pq UNION ALL SELECT run, gain, 'language', 'l' || cast(query % 2 AS VARCHAR) FROM pq) t GROUP BY 1, 2, 3),
+sz AS (SELECT field, count(*) AS size FROM (SELECT DISTINCT field, doc, term FROM w) t GROUP BY 1), cd AS (SELECT run, list_sort(list(candidates)) AS cs FROM rk WHERE rank = 1 GROUP BY 1),
+r AS (SELECT sets.run AS name, sets.n, (SELECT cast(floor(avg(gain)) AS BIGINT) FROM bk WHERE bk.run = sets.run AND axis = 'category') AS gain, (SELECT count_if(failed) FROM pq WHERE pq.run = sets.run) AS failures,
+(SELECT cast(floor(1000000 * sum(bad) / (5 * count(*))) AS BIGINT) FROM pq WHERE pq.run = sets.run) AS forbidden, (SELECT cs[cast(round_even(0.95 * (len(cs) - 1), 0) AS BIGINT) + 1] FROM cd WHERE cd.run = sets.run) AS p95, (SELECT cast(sum(size) AS BIGINT) FROM sz WHERE list_contains(sets.parts, sz.field)) AS mb FROM sets)"""
 
 
-def runs(spark):
-    return spark.createDataFrame(RUNS, "name string, gain long, failures long, forbidden long, p95 long, mb long")
+class Report:
+    """The runs over the four fields, with their parts."""
 
+    def __init__(self, spark, sf):
+        hits = cut(lexical_fields_topk(spark, sf).withColumnRenamed("field", "name"))
+        self.sets = S.modality_sets(hits.select("name").distinct())
+        grade = F.when(F.col("toxic") == 1, -1).when((F.col("quality") == 1) & (F.col("doc") % 5 == F.col("query") % 5), 3).when(F.col("quality") == 1, 1).otherwise(0)
+        pool = hits.select("query", "doc").distinct().join(read(spark, sf, "labels"), F.col("doc") == F.col("doc_id")).select("query", "doc", grade.alias("grade"))
+        self.ranking = S.fused_runs(hits, self.sets)
+        names = sorted(r.run for r in self.sets.select("run").collect())  # sets of a few names
+        rows = S.primary_by_run(self.ranking, pool, names).withColumn("category", F.concat(F.lit("c"), (F.col("query") % 5).cast("string"))).withColumn("language", F.concat(F.lit("l"), (F.col("query") % 2).cast("string")))
+        rows = cut(rows)
+        self.buckets = S.run_buckets(rows, ["category", "language"])
+        sizes = indexes.fields(spark, sf).terms.groupBy(F.col("field").alias("name")).agg(F.sum("df").alias("size"))
+        self.runs = S.run_scores(rows, self.buckets, self.ranking, self.sets, sizes, "category")
 
-def run_buckets(spark):
-    return spark.createDataFrame(BUCKETS, "name string, bucket string, gain long, n long")
 
+@query(f"WITH {RUNS} SELECT run AS modalities, cast(n AS BIGINT) AS n FROM sets")
+def modality_powerset(spark, sf):
+    """Singles, pairs and all of the fields that have hits."""
+    names = lexical_fields_topk(spark, sf).select(F.col("field").alias("name")).distinct()
+    return S.modality_sets(names).select(F.col("run").alias("modalities"), F.col("n").cast("long").alias("n"))
 
-CHECKS = f"""{RUN_SQL}, {BUCKET_SQL}, z AS (SELECT * FROM r WHERE name = 'base'), w AS (SELECT c.name, count_if(k.gain IS NULL OR k.gain - q.gain < -50000) AS dropped FROM (SELECT name FROM r WHERE name <> 'base') c CROSS JOIN (SELECT bucket, gain FROM k WHERE name = 'base' AND n >= 5) q LEFT JOIN k ON k.name = c.name AND k.bucket = q.bucket GROUP BY 1),
-g AS (SELECT r.name, r.gain, r.mb, r.p95, r.failures, list_filter([CASE WHEN r.failures > z.failures THEN 'hard_regression' END, CASE WHEN r.gain - z.gain < 30000 THEN 'primary_uplift' END, CASE WHEN dropped > 0 THEN 'bucket_regression' END, CASE WHEN r.forbidden > z.forbidden THEN 'forbidden_rate' END, CASE WHEN r.p95 > 200 THEN 'warm_p95' END, CASE WHEN r.mb > 4096 THEN 'memory' END], lambda x: x IS NOT NULL) AS failed FROM r JOIN w USING (name), z)"""
+
+@query(f"WITH {RUNS} SELECT name, cast(n AS BIGINT) AS n, gain, failures, forbidden, p95, mb FROM r")
+def run_scores(spark, sf):
+    """Gain, failures, forbidden rate, candidates and size of each set of fields."""
+    return Report(spark, sf).runs.withColumn("n", F.col("n").cast("long"))
+
+
+#: Bounds of the gate here: candidates a query instead of milliseconds, postings instead of megabytes.
+MOST_CANDIDATES, MOST_POSTINGS = 70, 10_000_000
+CHECKS = f"""{RUNS}, z AS (SELECT * FROM r WHERE name = 'title'), u AS (SELECT bucket, gain FROM bk WHERE run = 'title' AND axis = 'category' AND n >= 5), g AS (SELECT r.name, list_filter([CASE WHEN r.failures > z.failures THEN 'hard_regression' END, CASE WHEN r.gain - z.gain < 30000 THEN 'primary_uplift' END,
+CASE WHEN (SELECT count(*) FROM u LEFT JOIN bk ON bk.run = r.name AND bk.axis = 'category' AND bk.bucket = u.bucket WHERE bk.gain IS NULL OR bk.gain - u.gain < -50000) > 0 THEN 'bucket_regression' END,
+CASE WHEN r.forbidden > z.forbidden THEN 'forbidden_rate' END, CASE WHEN r.p95 > {MOST_CANDIDATES} THEN 'warm_p95' END, CASE WHEN r.mb > {MOST_POSTINGS} THEN 'memory' END], lambda x: x IS NOT NULL) AS failed FROM r, z WHERE r.name <> 'title')"""
 
 
 @query(f"WITH {CHECKS} SELECT name, len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed FROM g")
 def acceptance_gate(spark, sf):
-    """Six checks of each candidate against the baseline; all are made, none ends the others."""
-    out = R.gate(runs(spark), run_buckets(spark), "base")
+    """Six checks of each set of fields against titles alone; all are made, none ends the others."""
+    report = Report(spark, sf)
+    buckets = report.buckets.filter("axis = 'category'").select(F.col("run").alias("name"), "bucket", "gain", "n")
+    out = R.gate(report.runs, buckets, "title", p95=MOST_CANDIDATES, mb=MOST_POSTINGS)
     return out.select("name", (F.size("failed") == 0).alias("passed"), F.array_join("failed", ",").alias("failed"))
 
 
-@query(f"""WITH {CHECKS}, c AS (SELECT * FROM g WHERE name IN ('small', 'large', 'tiny', 'twin', 'leaky')), p AS (SELECT a.name, count_if(CASE WHEN abs(a.gain - b.gain) < 20000 THEN CASE WHEN a.mb <> b.mb THEN a.mb < b.mb WHEN a.p95 <> b.p95 THEN a.p95 < b.p95 WHEN a.gain <> b.gain THEN a.gain > b.gain ELSE a.name < b.name END ELSE a.gain > b.gain END) AS wins FROM c a JOIN c b ON a.name <> b.name GROUP BY 1)
-SELECT name, wins, row_number() OVER (ORDER BY wins DESC, name) AS position FROM p""")
+CANDIDATES = "c AS (SELECT item_id AS name, cast(floor(price * 1000 + 0.5) AS BIGINT) AS gain, cast(size AS BIGINT) AS mb, length(name) AS p95 FROM items WHERE price IS NOT NULL AND size IS NOT NULL AND name IS NOT NULL AND item_id IS NOT NULL)"
+PREFER = "CASE WHEN abs(a.gain - b.gain) < 20000 THEN CASE WHEN a.mb <> b.mb THEN a.mb < b.mb WHEN a.p95 <> b.p95 THEN a.p95 < b.p95 WHEN a.gain <> b.gain THEN a.gain > b.gain ELSE a.name < b.name END ELSE a.gain > b.gain END"
+
+
+@query(f"""WITH {CANDIDATES}, d AS (SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.gain >= a.gain AND b.mb <= a.mb AND b.p95 <= a.p95 AND (b.gain > a.gain OR b.mb < a.mb OR b.p95 < a.p95 OR b.name < a.name))),
+p AS (SELECT a.name, count_if(a.name <> b.name AND {PREFER}) AS wins FROM d a CROSS JOIN d b GROUP BY 1) SELECT name, gain, mb, p95, wins, row_number() OVER (ORDER BY wins DESC, name) AS position FROM d JOIN p USING (name)""")
 def pareto_order(spark, sf):
-    """Candidates by how many others they are preferred to: within 2 % the smaller and faster one."""
-    some = R.gate(runs(spark), run_buckets(spark), "base").filter(F.col("name").isin("small", "large", "tiny", "twin", "leaky"))
-    return R.pareto(some).select("name", "wins", "position")
+    """Items by price, size and length of name: those that none dominates, by how many of the others they are preferred to."""
+    rows = read(spark, sf, "items").select(F.col("item_id").alias("name"), F.floor(F.col("price") * 1000 + 0.5).cast("long").alias("gain"), F.col("size").alias("mb"), F.length("name").alias("p95"))
+    return S.preferences(rows)
 
 
-@query(f"WITH {RUN_SQL} SELECT name, gain FROM r ORDER BY gain DESC, failures, p95, mb, name LIMIT 1")
+@query(f"WITH {RUNS} SELECT name, gain FROM r ORDER BY gain DESC, failures, p95, n, name LIMIT 1")
 def best_run(spark, sf):
-    return runs(spark).orderBy(F.desc("gain"), "failures", "p95", "mb", "name").limit(1).select("name", "gain")
+    return S.best_run(Report(spark, sf).runs).select("name", "gain")
 
 
-@query(f"WITH {RUN_SQL} SELECT coalesce((SELECT name FROM r WHERE name = 'dense'), (SELECT name FROM r ORDER BY gain DESC, name LIMIT 1)) AS picked, coalesce((SELECT name FROM r WHERE name = 'twin'), 'none') AS wanted")
+@query(f"""WITH {RUNS}, a AS (SELECT name FROM r ORDER BY gain DESC, name LIMIT 1) SELECT (SELECT name FROM r WHERE name = 'body,title') AS wanted, (SELECT name FROM a) AS fallback""")
 def preferred_run(spark, sf):
-    """The run that is asked for by name, else the best one."""
-    pick = lambda want: F.coalesce(F.max(F.when(F.col("name") == want, F.col("name"))), F.max_by("name", F.struct("gain", F.lit(0))))
-    best = F.min_by("name", F.struct(-F.col("gain"), F.col("name")))
-    return runs(spark).agg(F.coalesce(F.max(F.when(F.col("name") == "dense", F.col("name"))), best).alias("picked"), pick("twin").alias("wanted"))
+    """The run that is asked for, and the best one where there is none of that name."""
+    runs = Report(spark, sf).runs
+    pick = lambda name, c: S.preferred_run(runs, spark.createDataFrame([(name,)], "name string")).select(F.col("name").alias(c))
+    return pick("body,title", "wanted").crossJoin(pick("no such run", "fallback"))  # a row each
+
+
+@query(f"""WITH {RUNS}, o AS (SELECT axis, bucket, gain FROM bk WHERE run = 'body'), e AS (SELECT axis, bucket, gain FROM bk WHERE run = 'aliases,body,section,title'), d AS (SELECT axis, bucket, o.gain AS old, e.gain AS new, e.gain - o.gain AS delta, coalesce(e.gain - o.gain < -10000, false) AS regressed FROM o FULL OUTER JOIN e USING (axis, bucket))
+SELECT *, (SELECT gain FROM r WHERE name = 'aliases,body,section,title') >= (SELECT gain FROM r WHERE name = 'body') OR (SELECT count_if(regressed) FROM d) = 0 AS passed FROM d""")
+def cutover_gate(spark, sf):
+    """From the body to all fields: by bucket, and whether the change passes."""
+    report = Report(spark, sf)
+    return S.cutover(report.buckets, report.runs, "body", "aliases,body,section,title")
+
+
+@query(f"""WITH {CTE}, {TF}, j AS (SELECT query, doc FROM (SELECT query, doc FROM lex UNION SELECT query, doc FROM sp WHERE rank <= 20) t JOIN labels ON doc = doc_id WHERE quality = 1 AND toxic = 0 AND doc % 5 = query % 5), o AS (SELECT query, min(doc) AS doc FROM j GROUP BY 1),
+a AS (SELECT query, min(rank) AS old_rank FROM lex JOIN j USING (query, doc) GROUP BY 1), b AS (SELECT query, min(rank) AS new_rank FROM sp JOIN j USING (query, doc) WHERE rank <= 20 GROUP BY 1), t AS (SELECT query, lang AS found FROM sp JOIN documents ON doc = doc_id WHERE rank = 1)
+SELECT o.query, lang AS category, found, old_rank, new_rank, CASE WHEN coalesce(new_rank, 21) < coalesce(old_rank, 21) THEN 'new' WHEN coalesce(new_rank, 21) > coalesce(old_rank, 21) THEN 'old' ELSE 'tie' END AS better,
+CASE WHEN new_rank = 1 THEN 'pass_rank1' WHEN found <> lang THEN 'top1_cross_category' WHEN new_rank IS NULL THEN 'primary_missing_top_k' ELSE 'same_category_wrong_rank' END AS class FROM o JOIN documents ON doc = doc_id LEFT JOIN a USING (query) LEFT JOIN b USING (query) LEFT JOIN t USING (query)""")
+def failure_classes(spark, sf):
+    """Why each query fails with counts of terms, beside its rank by fields."""
+    old, new = lexical_hits(spark, sf), sparse_hits(spark, sf)
+    good = read(spark, sf, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("doc"))
+    judged = old.select("query", "doc").union(new.filter("rank <= 20").select("query", "doc")).distinct().filter(F.col("doc") % 5 == F.col("query") % 5).join(good, "doc").select("query", "doc")
+    return S.failure_classes(new, old, judged, read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("category")))
 
 
 MODALITIES = "md(name, hits) AS (SELECT 'lexical', query FROM (SELECT DISTINCT query FROM lex JOIN labels ON doc = doc_id WHERE quality = 1 AND rank <= 3) UNION ALL SELECT 'sparse', query FROM (SELECT DISTINCT query FROM sp JOIN labels ON doc = doc_id WHERE quality = 1 AND rank <= 3))"
@@ -149,16 +212,6 @@ def backend_compare(spark, sf):
     return out.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mrr"), "run")).cast("long"))
 
 
-@query(f"WITH {RUN_SQL}, {BUCKET_SQL}, z AS (SELECT bucket, gain FROM k WHERE name = 'base'), c AS (SELECT bucket, gain FROM k WHERE name = 'leaky'), d AS (SELECT coalesce(z.bucket, c.bucket) AS bucket, coalesce(c.gain, 0) - coalesce(z.gain, 0) AS delta FROM z FULL OUTER JOIN c USING (bucket)) SELECT bucket, delta, delta >= -10000 AS passed FROM d UNION ALL SELECT 'all', cast(floor(avg(delta)) AS BIGINT), floor(avg(delta)) >= -10000 FROM d")
-def cutover_gate(spark, sf):
-    """A new run may lose a hundredth in a bucket, and in all of them together."""
-    k = run_buckets(spark)
-    old, new = (k.filter(F.col("name") == n).select("bucket", F.col("gain").alias(c)) for n, c in (("base", "old"), ("leaky", "new")))
-    d = old.join(new, "bucket", "full_outer").select("bucket", (F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))).alias("delta"))
-    every = d.unionByName(d.agg(F.lit("all").alias("bucket"), F.floor(F.avg("delta")).cast("long").alias("delta")))
-    return every.withColumn("passed", F.col("delta") >= -10_000)
-
-
 FIELD = "SELECT DISTINCT query, doc FROM q JOIN {f} USING (term)"
 
 

@@ -54,3 +54,11 @@ def stored(source: DataFrame, name: str, version: str, build: Callable[[str], di
         return final
     files.delete(hadoop.Path(fresh), True)  # another build was first
     return final
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder as a reliable checkpoint, for results that several others read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
