@@ -38,6 +38,8 @@ END = 255
 END_WORD = np.uint64(0x454E44)  # stands for the end token beside 64-bit word hashes
 WORDS = np.dtype([("key", "<u8"), ("count", "<u4")])
 GRAMS = np.dtype([("key", "<u8"), ("count", "<u4")])
+#: Counts over all documents, which four bytes don't hold.
+COUNTED = np.dtype([("key", "<u8"), ("count", "<u8")])
 ANSWER = np.dtype([("key", "<u8"), ("log2p", "<f4")])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, n_bytes long, bits double"
 _HALF = math.log(0.5)
@@ -183,6 +185,15 @@ def top_of(rows) -> dict[str, np.ndarray]:
     return {"zeros1": zeros, "ones1": ones, "lean1": own - below, "zeros0": z0, "ones0": o0, "lean0": log_kt(z0, o0) - b0}
 
 
+def counted_rows(keys: np.ndarray, counts: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """Packed rows; a count that its field doesn't hold is an error (of a block alone: more than 4 GB of one gram)."""
+    if len(counts) and counts.max() > np.iinfo(dtype["count"]).max:
+        raise OverflowError("a block's count has more than four bytes")
+    rows = np.empty(len(keys), dtype)
+    rows["key"], rows["count"] = keys, counts
+    return rows
+
+
 def merged(payloads: list[bytes], dtype: np.dtype) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     parts = [np.frombuffer(p, dtype) for p in payloads]
     return parts, *tally(np.concatenate([p["key"] for p in parts]), np.concatenate([p["count"] for p in parts]).astype(np.int64))
@@ -221,8 +232,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
             return
         for kind, dtype in (("w", WORDS), ("g", GRAMS)):
             k, c = tally(np.concatenate([x[0] for x in sums[kind]]), np.concatenate([x[1] for x in sums[kind]]))
-            rows = np.empty(len(k), dtype)
-            rows["key"], rows["count"] = k, c
+            rows = counted_rows(k, c, dtype)
             bucket = T.mix(k.astype(np.uint64) if kind == "w" else (k >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_buckets)
             yield X.packed(bucket.astype(np.int64) + (n_buckets if kind == "g" else 0), rows, home)
 
@@ -234,9 +244,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
             own, k, c = merged(payloads, WORDS)
             out = []
             for p in own:
-                p = p.copy()
-                p["count"] = c[np.searchsorted(k, p["key"])]
-                out.append(p.tobytes())
+                out.append(counted_rows(p["key"], c[np.searchsorted(k, p["key"])], COUNTED).tobytes())
             n = len(out)
             yield pa.RecordBatch.from_arrays([pa.array(origins, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(out, pa.binary()), pa.array([int(c.sum())] + [0] * (n - 1), pa.int64()), pa.array([int((c > 0).sum())] + [0] * (n - 1), pa.int64())], names=["bucket", "origin", "payload", "tokens", "types"])
 
@@ -274,7 +282,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Co
                     held[o].append(p)
                     continue
                 if look is None:
-                    look = Lookup(np.frombuffer(b"".join(held[0]), WORDS), np.frombuffer(b"".join(held[-1]), ANSWER))
+                    look = Lookup(np.frombuffer(b"".join(held[0]), COUNTED), np.frombuffer(b"".join(held[-1]), ANSWER))
                     held.clear()
                 rows = X.unblocked(p)
                 data, offs = T.column(rows.column(1))

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("sparkloom.llm")
@@ -107,3 +108,13 @@ def test_base_and_gain(spark):
     total = sum(counts.values())
     order0 = sum(-math.log2((counts[b] + 0.5) / (total + 128)) for d, t in rows if held(d) for b in lower(t) + b"\xff")
     assert tested and sum(-r.score for r in tested) / math.log10(2) < 0.75 * order0
+
+
+def test_counts_beyond_four_bytes():
+    """Totals of all documents have eight bytes; a block's count that four don't hold is an error."""
+    many = np.array([5_000_000_000, 3], np.int64)
+    rows = ctw.counted_rows(np.array([7, 9], np.uint64), many, ctw.COUNTED)
+    look = ctw.Lookup(rows, np.zeros(0, ctw.ANSWER))
+    assert rows["count"].tolist() == many.tolist() and abs(look.log_count[0] - np.log10(5_000_000_000.5)) < 1e-12
+    with pytest.raises(OverflowError):
+        ctw.counted_rows(np.array([7, 9], np.uint64), many, ctw.WORDS)
