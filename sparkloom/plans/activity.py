@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sparkloom.operators import activity as A
 from sparkloom.operators import evaluation as E
 from sparkloom.plans.base import query, read
+from sparkloom.sources import pages
+from sparkloom.sources.stored import stored
 
 NOW = "2024-01-31"
 
@@ -107,3 +109,13 @@ def suggest_next(spark, sf):
     done = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n >= 12").select("user_id", "event_type")
     every = events.select("user_id").distinct().crossJoin(kinds)  # a catalog of kinds, not of rows
     return every.join(done, ["user_id", "event_type"], "left_anti")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, cast(sum(event_id) AS BIGINT) AS ids, min(event_id) AS first_id FROM events GROUP BY 1")
+def dumped_events(spark, sf):
+    """Events as the pages of an API's dump, 500 ids a page, read back by ranges of pages."""
+    events = read(spark, sf, "events")
+    path = stored(events, "event-pages", "1", lambda at: pages.dumped(events.select("event_id", "user_id", "event_type"), f"{at}/pages", F.floor(F.col("event_id") / 500)) or {})
+    pages.register(spark)
+    rows = spark.read.format("pages").schema("event_id long, user_id long, event_type string").load(f"{path}/pages")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.sum("event_id").alias("ids"), F.min("event_id").alias("first_id"))
