@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import history
 from sparkloom.plans.base import query, read
+from sparkloom.sources import buckets as B
+from sparkloom.sources.stored import stored
 
 
 @query("""SELECT l_suppkey AS reviewer, count(*) AS n, cast(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS approved,
@@ -110,3 +112,21 @@ def having_threshold_since(spark, sf):
     """An incremental lower bound that reaches the scan, then a threshold on groups."""
     rows = read(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz '1998-01-01'").join(read(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large")).filter("n >= 5")
+
+
+@query("""WITH u AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 89 <> 0 AND c_custkey % 97 <> 0 UNION ALL SELECT c_custkey, c_name || ' again', c_nationkey, c_acctbal + 1 FROM customer WHERE c_custkey % 97 = 0 AND c_custkey % 89 <> 0 UNION ALL SELECT c_custkey + 100000000, 'new', c_nationkey, c_acctbal FROM customer WHERE c_custkey % 101 = 0)
+SELECT c_custkey, c_name, c_nationkey, cast(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS cents FROM u""")
+def bucketed_upserts(spark, sf):
+    """Customers in buckets by key: a hundredth is changed, others go, and new ones come; read with the changes merged."""
+    rows = read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", F.lit(1).alias("v"))
+
+    def build(path):
+        table = B.created(rows, f"{path}/customers", ["c_custkey"], "v")
+        again = rows.filter("c_custkey % 97 = 0").withColumns({"c_name": F.concat("c_name", F.lit(" again")), "c_acctbal": F.col("c_acctbal") + 1, "v": F.lit(2)})
+        new = rows.filter("c_custkey % 101 = 0").withColumns({"c_custkey": F.col("c_custkey") + 100_000_000, "c_name": F.lit("new")})
+        table = B.upserted(table, again.unionByName(new))
+        B.deleted(table, rows.filter("c_custkey % 89 = 0").select("c_custkey"))
+        return {"path": path}
+
+    table = B.opened(spark, f"{stored(rows, 'buckets', '2', build)}/customers")
+    return B.rows_of(spark, table).select("c_custkey", "c_name", "c_nationkey", F.floor(F.col("c_acctbal") * 100 + 0.5).cast("long").alias("cents"))
