@@ -34,6 +34,11 @@ def symptom_tokens(text: Column) -> Column:
     return F.array_union(retrieval_tokens(text), F.filter(all_matches(F.lower(text), GENERIC_SYMPTOM_CHARS), lambda t: F.length(t) >= 2))
 
 
+def content_tokens(text: Column, generic: list[str]) -> Column:
+    """Symptom tokens without the generic ones."""
+    return F.filter(symptom_tokens(text), lambda t: ~t.isin(generic))
+
+
 def query_language(text: Column) -> Column:
     """ko, en, mixed or unknown; a Latin term of two letters makes Hangul text mixed."""
     hangul, latin = text.rlike("[가-힣]"), text.rlike("[A-Za-z]{2,}")

@@ -58,6 +58,20 @@ def overlap(queries: DataFrame, docs: DataFrame, percent: int = 34, least: int =
     return top_k(hits.select("query", "doc", "score"), ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
+def by_symptom(queries: DataFrame, symptoms: DataFrame, percent: int = 34, least: int = 1, k: int = 10) -> DataFrame:
+    """Documents by the symptoms that a query shows. queries: (query, term); symptoms: (symptom, doc, terms), of which those
+    count that share enough of their own terms with the query. The higher share comes first, then the larger one, then the
+    symptom, then the document; a document counts once."""
+    own = symptoms.filter(F.size("terms") > 0).select("symptom", F.size("terms").alias("size"), "terms").distinct()
+    hits = queries.distinct().join(own.select("symptom", "size", F.explode("terms").alias("term")), "term").groupBy("query", "symptom", "size").agg(F.count("*").alias("shared"))
+    hits = hits.filter((F.col("shared") >= least) & (100 * F.col("shared") >= percent * F.col("size"))).withColumn("share", F.col("shared") / F.col("size"))
+    order = [F.desc("share"), F.desc("shared"), F.asc("symptom"), F.asc("doc")]
+    # of a query's symptoms the first k are enough, as each has a document
+    some = top_k(hits, ["query"], order[:3], k, "place").drop("place").join(symptoms.select("symptom", "doc").distinct(), "symptom")
+    best = top_k(some, ["query", "doc"], order[:3], 1, "place").drop("place")
+    return top_k(best, ["query"], order, k).select("query", "doc", V.quantised(F.col("share")).alias("score"), "shared", "rank")
+
+
 def full_text(docs: DataFrame, words: list[str], phrase: bool = False) -> DataFrame:
     """Documents that hold all words, or the words next to each other, as whole folded tokens."""
     tokens = T.fts_tokens(F.col("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import dialogue as D
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
 from sparkloom.operators import cells as C
@@ -203,6 +204,49 @@ def rerank_rank_fusion(spark, sf):
     return K.rank_fused(hits, F.coalesce(F.col("coverage"), F.lit(0)), 10)
 
 
+GENERIC = "[" + ", ".join(f"'{w}'" for w in D.GENERIC_SYMPTOMS) + "]"
+
+
+def content_sql(x):
+    own = f"list_distinct(list_filter(regexp_extract_all(lower({x}), '{TERM}'), lambda t: length(t) >= 2))"
+    return rf"list_filter(list_distinct(list_concat({own}, list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_@/.-]+'), lambda t: length(t) >= 2))), lambda t: NOT list_contains({GENERIC}, t))"
+
+
+SYMPTOMS = f"""qs AS (SELECT DISTINCT item_id AS query, unnest({content_sql('text')}) AS term FROM benchmark), so AS (SELECT DISTINCT {TITLE} AS symptom, doc_id AS doc FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+sy AS (SELECT symptom, len(ts) AS size, unnest(ts) AS term FROM (SELECT symptom, {content_sql('symptom')} AS ts FROM (SELECT DISTINCT symptom FROM so) x) t), sh AS (SELECT query, symptom, size, count(*) AS shared FROM qs JOIN sy USING (term) GROUP BY 1, 2, 3),
+sr AS (SELECT query, doc, shared, cast(floor(shared / size * 1000000 + 0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY query ORDER BY shared / size DESC, shared DESC, symptom, doc) AS rank FROM sh JOIN so USING (symptom) WHERE 100 * shared >= 34 * size)"""
+
+
+def symptom_hits(spark, sf):
+    """The first lines of good documents are the symptoms that they answer."""
+    good = read(spark, sf, "documents").join(read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id")
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    symptoms = good.select(line.alias("symptom"), F.col("doc_id").alias("doc"), T.content_tokens(line, D.GENERIC_SYMPTOMS).alias("terms"))
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(T.content_tokens(F.col("text"), D.GENERIC_SYMPTOMS)).alias("term"))
+    return R.by_symptom(asked, symptoms)
+
+
+@query(f"WITH {SYMPTOMS} SELECT query, doc, score, shared, rank FROM sr WHERE rank <= 10")
+def symptom_router(spark, sf):
+    """Documents whose symptom shares a third of its own tokens with a query."""
+    return symptom_hits(spark, sf)
+
+
+#: Hundredths of the retrievers' weights in the fusion (fixed values).
+FUSION_WEIGHTS = {"lexical:title": 120, "lexical:section": 100, "lexical:aliases": 120, "lexical:body": 80, "sparse": 110, "symptom_router": 150}
+
+
+@query(f"""WITH {FIELDS}, {TF}, {SYMPTOMS}, fw(source, weight) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in FUSION_WEIGHTS.items())}), al AS (SELECT query, doc, rank, 'lexical:' || field AS source FROM (SELECT *, row_number() OVER (PARTITION BY query, field ORDER BY score DESC, doc) AS rank FROM s) t WHERE rank <= 20
+UNION ALL SELECT query, doc, rank, 'sparse' FROM sp UNION ALL SELECT query, doc, rank, 'symptom_router' FROM sr WHERE rank <= 10), fu AS (SELECT query, doc, cast(floor(sum(weight / (60.0 + rank)) * 10000 + 0.5) AS BIGINT) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM al JOIN fw USING (source) GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu) t WHERE rank <= 120""")
+def weighted_fusion(spark, sf):
+    """Six retrievers by their weights, at most 120 documents a query, with what each came from."""
+    named = lambda h, source: h.select("query", "doc", "rank", source.alias("source"))
+    every = named(lexical_fields_topk(spark, sf), F.concat(F.lit("lexical:"), "field")).unionByName(named(sparse_hits(spark, sf), F.lit("sparse"))).unionByName(named(symptom_hits(spark, sf), F.lit("symptom_router")))
+    fused = K.rrf(every, {k: v / 100 for k, v in FUSION_WEIGHTS.items()}).select("query", "doc", V.quantised(F.col("score")).alias("score"), "sources")
+    return K.top_k(fused, ["query"], [F.desc("score"), F.asc("doc")], 120)
+
+
 COPIES = "v AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_transform(embedding, lambda x, i: cast(x * 0.9 + CASE WHEN i = 1 THEN 0.01 ELSE 0 END AS FLOAT)) FROM embeddings WHERE label <> 0)"
 
 
