@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,20 +34,23 @@ END_ID = 1
 #: Tasks whose leftovers, a window each, are merged together.
 MERGE = 1024
 #: Bytes of segments and ids, with what a dictionary takes for each, that a task keeps in each of two halves.
-CACHE_BYTES = 12_000_000
+CACHE_BYTES = 32_000_000
 ENTRY_BYTES = 150
 #: Text bytes of the pieces that are held before they are handed on.
 SLICE_BYTES = 1_000_000
 
+#: How a byte-level vocabulary writes a space (fixed value).
+SPACE = "\u0120"
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Segments(dict):
-    """Ids of " " + key as little-endian 16-bit bytes.
+    """Ids of " " + key by the tokenizer, as little-endian 16-bit bytes.
 
     The pre-tokenizer always begins a new piece at a space that is followed by another kind of
-    character, so a text's ids are those of its segments one after the other. Segments recur; their
-    ids are kept, those used last for longest.
+    character, so a text's ids are those of its segments one after the other. Segments recur: the distinct ones of
+    a slice of texts are looked up once, and their ids are kept, those used last for longest.
     """
 
     def __init__(self, path: str):
@@ -55,66 +59,71 @@ class Segments(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         # segments hold no added token: texts that do are left to the tokenizer
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # so are texts with a space before white space or at the end, which may be one piece
+        self.whole = re.compile("|".join([*added, r" (?:\s|$)"]))
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
         self.older: dict[str, bytes] = {}
         self.held = 0
-        self.direct = self.bytewise(path)
-
-    def bytewise(self, path: str):
-        """The same vocabulary's faster coder where its file lies beside; else the tokenizer itself."""
-        import base64
-        import os
-
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if not os.path.exists(ranks):
-            return lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("segments", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-
-    def __missing__(self, key: str) -> bytes:
-        if not key or key[0].isspace():
-            raise KeyError(key)
-        out = self.older.get(key) or np.array(self.direct(" " + key), "<u2").tobytes()
-        size = len(key) + len(out) + ENTRY_BYTES
-        if size > CACHE_BYTES // 8:  # one very long word is not worth its place
-            return out
-        if self.held + size > CACHE_BYTES:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self[key] = out
-        self.held += size
+
+    def together(self, keys: list[str]) -> list[bytes]:
+        """The ids of each segment from one text of all: a segment has its only space in front, so its first id alone
+        begins with one."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + k for k in keys])], add_special_tokens=False)[0].ids, "<u2")
+        at = [*(2 * np.flatnonzero(self.begins[ids])).tolist(), 2 * len(ids)]
+        if len(at) != len(keys) + 1:
+            raise ValueError("this tokenizer does not begin a piece at every space: its texts can't be coded by segments")
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def looked_up(self, keys: list[str]) -> list[bytes]:
+        out = [self.get(k) or self.older.get(k) for k in keys]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(missing, self.together([keys[i] for i in missing]), strict=True):
+            out[i] = ids
+        for key, ids in zip(keys, out, strict=True):
+            size = len(key) + len(ids) + ENTRY_BYTES
+            if size > CACHE_BYTES // 8 or key in self:  # one very long word is not worth its place
+                continue
+            if self.held + size > CACHE_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = ids
+            self.held += size
         return out
 
     def forget(self) -> None:
         self.clear()
         self.older, self.held = {}, 0
 
-    def ids(self, text: str) -> np.ndarray:
-        if not self.added.search(text):
-            return np.frombuffer(self.plain(text), "<u2")
-        # the tokenizer itself knows its added tokens; such texts are rare
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def plain(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            tail = b"".join(map(self.__getitem__, rest))
-        except KeyError:
-            joined: list[str] = []
-            for s in rest:
-                if s and not s[0].isspace():
-                    joined.append(s)
-                elif joined:
-                    joined[-1] += " " + s
-                else:
-                    head += " " + s
-            tail = b"".join(map(self.__getitem__, joined))
-        first = np.array(self.direct(head), "<u2").tobytes() if head else b""
-        return first + tail
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        for i, ids in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
+            out[i] = np.frombuffer(ids, "<u2")
+        cut = [i for i, ids in enumerate(out) if ids is None]
+        if not cut:
+            return out
+        heads, rests = zip(*((head, rest if space else None) for head, space, rest in (texts[i].partition(" ") for i in cut)), strict=True)
+        parts = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        known = self.looked_up(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(known), "<u2")
+        length = np.array([len(k) // 2 for k in known], np.int64)
+        start = np.cumsum(length) - length
+        at = coded.indices.to_numpy()
+        n = length[at]
+        end = np.cumsum(n)
+        tail = pool[np.repeat(start[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        ends = np.append(0, end)[np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy())]
+        for i, head, a, b in zip(cut, self.direct(list(heads)), np.append(0, ends[:-1]), ends, strict=True):
+            out[i] = np.append(np.frombuffer(head, "<u2"), tail[a:b])
+        return out
 
 
 _segments: dict[str, Segments] = {}
@@ -165,18 +174,15 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
         vocabulary, part = segments(tokenizer_path), TaskContext.get().partitionId()
         open_ = Windows(window, open_windows, part << 36)
         for batch in batches:
-            done, size = [], 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py() or ""
-                ids = np.append(vocabulary.ids(t), np.uint32(end_id)).astype("<u4")
-                for a in range(0, len(ids), window):
-                    piece = ids[a : a + window].copy()  # not a view, which would hold the whole document
-                    done += open_.place(len(piece), (k, a, piece, len(ids)))
-                size += len(t)
-                if size > SLICE_BYTES:
-                    yield rows(done, -1, 0)
-                    done, size = [], 0
-            yield rows(done, -1, 0)
+            for part_of in slices(batch):
+                done: list = []
+                keys, texts = part_of.column(0).to_pylist(), [t or "" for t in part_of.column(1).to_pylist()]
+                for k, found in zip(keys, vocabulary.ids(texts), strict=True):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    for a in range(0, len(ids), window):
+                        piece = ids[a : a + window].copy()  # not a view, which would hold the whole document
+                        done += open_.place(len(piece), (k, a, piece, len(ids)))
+                yield rows(done, -1, 0)
         vocabulary.forget()
         last: list = []
         at, w = 0, open_.new()
@@ -190,6 +196,13 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
                     last, at, w = [], 0, open_.new()
         yield rows(last, part // MERGE, at)
 
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Runs of rows of about SLICE_BYTES of text, each of one row at least."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+        cuts = np.flatnonzero(np.diff(size)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
     def rows(items: list, group: int, used: int) -> pa.RecordBatch:
         flat = [(k, a, len(piece), zlib.crc32(piece.tobytes()), total, w, o, group, used) for (k, a, piece, total), w, o in items]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "merge_group", "used"]

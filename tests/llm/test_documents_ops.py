@@ -281,3 +281,22 @@ def test_chat_round_trip(spark):
         text = "<s>" + "".join(p.piece for p in sorted((p for p in chat_format.format_chat(df).collect() if p.conv_id == c), key=lambda p: p.seq))
         assert len(text) == g.formatted_chars
     assert chat_format.round_trip(df.limit(0)).count() == 0
+
+
+def test_segments_are_those_of_the_tokenizer_alone():
+    """Slices of texts with spaces in every place, long words and the small tables' texts; a cache that overflows."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, own = Tokenizer.from_file(path), packing.Segments(path)
+    odd = ["", " ", "a", "a ", "a  b", "a \n b", " a", "  x", "é ü x", "a  b", "x" * 50_000, "a b " * 3, "Ġ aĠ b", "\x00 \x1c y"]
+    texts = odd + [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [i.tolist() for i in own.ids(texts)] == want
+    before, packing.CACHE_BYTES = packing.CACHE_BYTES, 20_000
+    try:
+        assert [own.ids([x])[0].tolist() for x in texts] == want
+    finally:
+        packing.CACHE_BYTES = before
+    assert own.ids([]) == []
