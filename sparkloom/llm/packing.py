@@ -36,8 +36,8 @@ MERGE = 1024
 #: Bytes of segments and ids, with what a dictionary takes for each, that a task keeps in each of two halves.
 CACHE_BYTES = 32_000_000
 ENTRY_BYTES = 150
-#: Text bytes of the pieces that are held before they are handed on.
-SLICE_BYTES = 1_000_000
+#: Text bytes that are coded together, and whose pieces are held before they are handed on.
+SLICE_BYTES = 4_000_000
 
 #: How a byte-level vocabulary writes a space (fixed value).
 SPACE = "\u0120"
@@ -81,18 +81,21 @@ class Segments(dict):
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def looked_up(self, keys: list[str]) -> list[bytes]:
-        out = [self.get(k) or self.older.get(k) for k in keys]
-        missing = [i for i, ids in enumerate(out) if ids is None]
+        out = list(map(self.get, keys))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i in new:
+            out[i] = self.older.get(keys[i])
+        missing = [i for i in new if out[i] is None]
         for i, ids in zip(missing, self.together([keys[i] for i in missing]), strict=True):
             out[i] = ids
-        for key, ids in zip(keys, out, strict=True):
-            size = len(key) + len(ids) + ENTRY_BYTES
-            if size > CACHE_BYTES // 8 or key in self:  # one very long word is not worth its place
+        for i in new:
+            size = len(keys[i]) + len(out[i]) + ENTRY_BYTES
+            if size > CACHE_BYTES // 8:  # one very long word is not worth its place
                 continue
             if self.held + size > CACHE_BYTES:
                 self.older, self.held = dict(self), 0
                 self.clear()
-            self[key] = ids
+            self[keys[i]] = out[i]
             self.held += size
         return out
 
