@@ -1,10 +1,14 @@
 """Cells of vectors: recall of the approximate search, exactness of the others."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import vector as V
 from sparkloom.operators import cells as C
+from sparkloom.operators import retrieval as R
 from sparkloom.plans import catalog, indexes
 
 
@@ -121,3 +125,47 @@ def test_nothing_is_near(spark, tmp_path):
 def test_means(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [5.0, 5.0])], "path string, vector array<float>")
     assert {r.path: r.vector for r in C.means(df).collect()} == {"a": [2.0, 4.0], "b": [5.0, 5.0]}
+
+
+def flat_rows(n, dim=24, seed=5):
+    """Vectors without structure, the last fifth near to the first."""
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    x[-n // 5 :] = x[: len(x[-n // 5 :])] * 1.5 + 0.05
+    return [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)]
+
+
+def test_unstructured_vectors_go_to_one_cell():
+    """Centres that part nothing would send every vector to most cells; clustered vectors keep theirs."""
+    limit = float(np.arccos(0.92))
+    for rows, many in ((np.array([v for _, v in flat_rows(2000)]), True), (np.array([v for _, v in vectors(n=2000, dim=12, groups=8)]) * 1.0, False)):
+        rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+        assert (C.visited(rows, C.fitted(rows, 8), limit) >= C.VISITS) is many
+
+
+def test_near_pairs_without_structure(spark):
+    rows = flat_rows(2500)
+    got = [(r.doc_a, r.doc_b) for r in C.near_pairs(frame(spark, rows), 0.92).collect()]
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    x, y = np.nonzero(np.triu(np.floor(unit @ unit.T * 1_000_000 + 0.5) >= 920_000, 1))
+    assert sorted(got) == sorted(zip(x.tolist(), y.tolist(), strict=True)) and len(got) > 400
+
+
+def test_near_duplicates_by_blocks(spark):
+    """Within scopes, whatever the blocks; a task gets two blocks, not a scope's pairs."""
+    rows = [(d, d % 3 if d % 7 else None, v) for d, v in flat_rows(600) + [(5000, None), (5001, []), (5002, [1.0]), (5003, [0.0] * 24), (5004, [None] * 24)]]
+    df = spark.createDataFrame(rows, "doc long, scope int, vector array<float>")
+    fit = [(d, s, np.array(v) / np.linalg.norm(v)) for d, s, v in rows if s is not None and d < 5000]
+    want = sorted((a, b, s) for a, s, v in fit for b, t, w in fit if a < b and s == t and np.floor(v @ w * 1_000_000 + 0.5) >= 920_000)
+    for block in (50, 4096):
+        assert sorted((r.doc_a, r.doc_b, r.scope) for r in R.within_scopes(df, 0.92, block).collect()) == want
+    plan = R.near_duplicates(df, 0.92)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(want) > 30 and "doc_a" not in plan.split("FlatMapGroupsInArrow")[1].split("\n", 1)[1]
+
+
+def test_norms_are_found_once(spark):
+    """A norm within a lambda was found again for each element."""
+    df = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: x.cast("float")).alias("v"))
+    began = time.time()
+    df.select(V.normalised(F.col("v")).alias("v")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 20
