@@ -1,6 +1,7 @@
 """Which aliases a text mentions, for thousands of aliases at once.
 
-An Aho-Corasick automaton of all aliases passes over each text once, so the time doesn't depend on their number. An alias of
+An Aho-Corasick automaton of all aliases passes over each text once, so the time doesn't depend on their number; aliases
+that are plain ASCII words are looked up among a text's words instead. An alias of
 ASCII characters counts where it stands as a whole word, whatever its case (`[A-Za-z0-9_]` on neither side); any other as
 a part of the lower-cased text. Aliases are sent to the tasks in blocks of at most BLOCK_CHARS characters, with a pass
 for each block.
@@ -11,6 +12,7 @@ that differs from another by its case only, stands for each of its concepts; ali
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,14 +25,19 @@ BLOCK_CHARS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = frozenset("0123456789_" + LOWER)
 TO_LOWER = str.maketrans(UPPER, LOWER)
+WORDS = re.compile("[0-9_a-z]+")
 
 
 class Matcher:
-    """Automata of whole ASCII words and of other parts of texts; each key stands for a number."""
+    """Plain words, and automata of ASCII keys with other characters and of parts of texts; each key stands for a number. A
+    key of word characters stands as a whole word where it is a longest run of them, so it is looked up among these."""
 
     def __init__(self, keys: list[str]):
-        self.words, self.parts = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.plain, self.words, self.parts = {}, ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, k in enumerate(keys):
+            if WORDS.fullmatch(k):
+                self.plain[k] = i
+                continue
             (self.words if k.isascii() else self.parts).add_word(k, (i, len(k)))
         for a in (self.words, self.parts):
             if len(a):
@@ -38,7 +45,7 @@ class Matcher:
 
     def found(self, folded: str, lowered: str) -> set[int]:
         """Numbers of the keys in a text, given with A-Z in lower case, and in lower case throughout."""
-        out = set()
+        out = {self.plain[w] for w in self.plain.keys() & set(WORDS.findall(folded))} if self.plain else set()
         if len(self.words):
             for end, (i, n) in self.words.iter(folded):
                 if i not in out and (end + 1 == len(folded) or folded[end + 1] not in WORD) and (end < n or folded[end - n] not in WORD):
@@ -71,7 +78,7 @@ def _passed(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
         matcher = Matcher(keys)
         for batch in batches:
             folded, lowered = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
-            found = [sorted(keys[k] for k in matcher.found(f.translate(TO_LOWER), low)) for f, low in zip(folded, lowered, strict=True)]
+            found = [sorted(keys[k] for k in matcher.found(f.encode().lower().decode(), low)) for f, low in zip(folded, lowered, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.list_(pa.string()))], names=[*names, "more"])
 
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -62,3 +62,12 @@ def test_time_is_that_of_the_text():
             matcher.found(text, text)
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.2
+
+
+def test_plain_words_need_no_automaton():
+    """Whole words are told by the longest runs of word characters; other keys still go through the automata."""
+    keys = ["cat", "c_1", "a-b", "x+", "été", "tea"]
+    m = A.Matcher(keys)
+    assert len(m.words) == 2 and len(m.parts) == 1
+    for text, want in (("a cat, c_1.", {0, 1}), ("cats c_12 _cat", set()), ("cat-tea éteté été", {0, 4, 5}), ("xa-b a-b x+ xx+", {2, 3}), ("écaté", {0}), ("", set())):
+        assert m.found(text, text) == want, text
