@@ -34,7 +34,7 @@ END_ID = 1
 #: Tasks whose leftovers, a window each, are merged together.
 MERGE = 1024
 #: Bytes of segments and ids, with what a dictionary takes for each, that a task keeps in each of two halves.
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 64_000_000
 ENTRY_BYTES = 150
 #: Text bytes that are coded together, and whose pieces are held before they are handed on.
 SLICE_BYTES = 4_000_000
@@ -83,25 +83,35 @@ class Segments(dict):
     def looked_up(self, keys: list[str]) -> list[bytes]:
         out = list(map(self.get, keys))
         new = [i for i, ids in enumerate(out) if ids is None]
-        for i in new:
-            out[i] = self.older.get(keys[i])
-        missing = [i for i in new if out[i] is None]
-        for i, ids in zip(missing, self.together([keys[i] for i in missing]), strict=True):
+        asked = [keys[i] for i in new]
+        found = list(map(self.older.get, asked))
+        missing = [k for k, ids in zip(asked, found, strict=True) if ids is None]
+        coded = iter(self.together(missing) if missing else ())
+        found = [next(coded) if ids is None else ids for ids in found]
+        for i, ids in zip(new, found, strict=True):
             out[i] = ids
-        for i in new:
-            size = len(keys[i]) + len(out[i]) + ENTRY_BYTES
+        self.keep(asked, found)
+        return out
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
+    def keep(self, keys: list[str], found: list[bytes]) -> None:
+        every = sum(map(len, keys)) + sum(map(len, found)) + ENTRY_BYTES * len(keys)
+        if self.held + every <= CACHE_BYTES and max(map(len, keys), default=0) <= CACHE_BYTES // 64:
+            self.update(zip(keys, found, strict=True))
+            self.held += every
+            return
+        for key, ids in zip(keys, found, strict=True):
+            size = len(key) + len(ids) + ENTRY_BYTES
             if size > CACHE_BYTES // 8:  # one very long word is not worth its place
                 continue
             if self.held + size > CACHE_BYTES:
                 self.older, self.held = dict(self), 0
                 self.clear()
-            self[keys[i]] = out[i]
+            self[key] = ids
             self.held += size
-        return out
-
-    def forget(self) -> None:
-        self.clear()
-        self.older, self.held = {}, 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -115,7 +125,7 @@ class Segments(dict):
         heads, rests = zip(*((head, rest if space else None) for head, space, rest in (texts[i].partition(" ") for i in cut)), strict=True)
         parts = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         coded = parts.flatten().dictionary_encode()
-        known = self.looked_up(coded.dictionary.to_pylist())
+        known = self.looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         pool = np.frombuffer(b"".join(known), "<u2")
         length = np.array([len(k) // 2 for k in known], np.int64)
         start = np.cumsum(length) - length
