@@ -34,7 +34,7 @@ def drill_outcomes(spark, sf):
         drills.appended(drills.outcomes(rows, TTL_HOURS, TURNS, f"{LATE_HOURS} hour"), f"{at}/outcomes", f"{at}/checkpoint")
         return {}
 
-    return spark.read.parquet(stored(read(spark, sf, "events"), "drill-outcomes", f"2-{TTL_HOURS}-{TURNS}-{LATE_HOURS}", build) + "/outcomes").drop("batch")
+    return spark.read.parquet(stored(read(spark, sf, "events"), "drill-outcomes", f"3-{TTL_HOURS}-{TURNS}-{LATE_HOURS}", build) + "/outcomes").drop("batch")
 
 
 @query(f"""WITH d AS (SELECT user_id, event_type AS kind, cast(ts AS DATE) AS day, count(*) AS n, sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS cents, count_if(value >= {profiles.HIGH}) AS high FROM events GROUP BY 1, 2, 3),

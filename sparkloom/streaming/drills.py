@@ -26,42 +26,45 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class Drills(StatefulProcessor):
-    """State of one user: events that wait, open drills, turns so far, and the one timer that is set."""
+    """State of one user: events that wait, open drills, and turns so far with the one timer that is set. Each of the three
+    is read and written as a whole, once a call: the state lies in another process, and an exchange costs as much as many events."""
 
     def __init__(self, ttl_ms: int, turns: int):
         self.ttl_us, self.turns = ttl_ms * 1000, turns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, event long", "kind string, drill long")
-        self.open = handle.getMapState("open", "drill long", "event long, at long, turn long")
-        self.count = handle.getValueState("count", "n long")
-        self.alarm = handle.getValueState("alarm", "ms long")
+        self.waiting = handle.getListState("waiting", "at long, event long, kind string, drill long")
+        self.open = handle.getListState("open", "drill long, event long, at long, turn long")
+        self.side = handle.getValueState("side", "n long, ms long")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        least = None
+        new: list = []
         for part in rows:
-            for at, event, kind, drill in zip(part["at"], part["event_id"], part["kind"], part["drill"], strict=True):
-                self.waiting.updateValue((int(at), int(event)), (kind, None if drill != drill or drill is None else int(drill)))
-                least = int(at) if least is None else min(least, int(at))
-        if least is not None:
-            self.wake(least // 1000)
+            drills = (None if d != d or d is None else int(d) for d in part["drill"].tolist())
+            new += zip(part["at"].tolist(), part["event_id"].tolist(), part["kind"].tolist(), drills, strict=True)
+        if new:
+            self.waiting.appendList(new)
+            n, held = self.told()
+            ms = min(e[0] for e in new) // 1000
+            if held is None or ms < held:
+                if held is not None:
+                    self.handle.deleteTimer(held)
+                self.handle.registerTimer(ms)
+                self.side.update((n, ms))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
         now = timerValues.getCurrentWatermarkInMs()
-        self.alarm.clear()
-        every = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
-        due = [e for e in every if e[0][0] // 1000 <= now]
-        drills = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        before = set(drills)
-        n = self.count.get()[0] if self.count.exists() else 0
+        every = sorted({(at, event): (kind, drill) for at, event, kind, drill in self.waiting.get()}.items())
+        after = next((i for i, e in enumerate(every) if e[0][0] // 1000 > now), len(every))
+        before = {drill: (event, at, turn) for drill, event, at, turn in self.open.get()}
+        drills, n = dict(before), self.told()[0]
         out = []
-        for (at, event), (kind, drill) in due:
+        for (at, event), (kind, drill) in every[:after]:
             n += 1
-            self.waiting.removeKey((at, event))
             if drill is None or kind not in ("offer", "answer"):
                 continue
             held = drills.pop(drill, None)
@@ -77,27 +80,25 @@ class Drills(StatefulProcessor):
             if (held[1] + self.ttl_us) // 1000 <= now:
                 out.append((key[0], drill, held[0], None, None, "expired"))
                 del drills[drill]
-        for drill in before - set(drills):
-            self.open.removeKey((drill,))
-        for drill, held in drills.items():
-            self.open.updateValue((drill,), held)
-        self.count.update((n,))
-        ahead = [e[0][0] // 1000 for e in every[len(due) :]][:1] + [(h[1] + self.ttl_us) // 1000 for h in drills.values()]
-        if ahead:
-            self.wake(min(ahead))
+        if after:
+            self.rewritten(self.waiting, [(at, event, kind, drill) for (at, event), (kind, drill) in every[after:]])
+        if drills != before:
+            self.rewritten(self.open, [(drill, *held) for drill, held in drills.items()])
+        ahead = [e[0][0] // 1000 for e in every[after : after + 1]] + [(h[1] + self.ttl_us) // 1000 for h in drills.values()]
+        if ahead:  # one timer a user, at the first time at which there is something to do
+            self.handle.registerTimer(min(ahead))
+        self.side.update((n, min(ahead, default=None)))
         if out:
             table = pd.DataFrame(out, columns=["user_id", "drill", "offered", "closed", "waited_ms", "outcome"])
             yield table.astype({"closed": "Int64", "waited_ms": "Int64"})
 
-    def wake(self, ms: int) -> None:
-        """One timer a user, at the first time at which there is something to do."""
-        held = self.alarm.get()[0] if self.alarm.exists() else None
-        if held is not None and held <= ms:
-            return
-        if held is not None:
-            self.handle.deleteTimer(held)
-        self.handle.registerTimer(ms)
-        self.alarm.update((ms,))
+    def told(self) -> tuple[int, int | None]:
+        """Turns so far, and the timer that is set."""
+        held = self.side.get()
+        return (0, None) if held is None else (held[0], held[1])
+
+    def rewritten(self, state, rows: list) -> None:
+        state.put(rows) if rows else state.clear()
 
     def close(self) -> None:
         pass

@@ -112,3 +112,57 @@ def test_profiles_by_deltas(spark, tmp_path, hot):
         got = profiles.profile(profiles.days(spark, out), now)
         want = profiles.profile(profiles.summed(spark.createDataFrame(every, EVENTS)), now)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count()
+
+
+def test_drills_exchange_state_a_few_times_a_call():
+    """A user's events are put into state and taken out of it together, however many they are."""
+    import pandas as pd
+
+    from sparkloom.streaming.drills import Drills
+
+    class State:
+        calls = 0
+
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                State.calls += 1
+                if name in ("put", "update", "appendList", "clear"):
+                    self.rows = (self.rows if name == "appendList" else []) + [*(args[0] if name in ("put", "appendList") else args)]
+                return iter(self.rows) if name == "get" and self.many else (self.rows or [None])[-1]
+
+            return call
+
+    class Handle:
+        def getListState(self, *args):
+            return self.state(True)
+
+        def getValueState(self, *args):
+            return self.state(False)
+
+        def state(self, many):
+            out = State()
+            out.many = many
+            return out
+
+        def registerTimer(self, ms):
+            State.calls += 1
+
+        deleteTimer = registerTimer
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 10_000_000
+
+    found = []
+    for n in (10, 1000):
+        State.calls, own = 0, Drills(3_600_000, 10)
+        own.init(Handle())
+        rows = pd.DataFrame({"at": range(n), "event_id": range(n), "kind": ["offer", "answer"] * (n // 2), "drill": [1.0] * n})
+        assert list(own.handleInputRows((7,), iter([rows]), Times())) == []
+        out = pd.concat(own.handleExpiredTimer((7,), Times(), None))
+        assert (out["outcome"] == "answered").sum() == n // 2
+        found.append(State.calls)
+    assert found[0] == found[1] < 12
