@@ -169,3 +169,51 @@ def test_norms_are_found_once(spark):
     began = time.time()
     df.select(V.normalised(F.col("v")).alias("v")).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 20
+
+
+def test_near_duplicates_everywhere_as_its_sql(spark, tmp_path):
+    """Pairs of equal vectors, of vectors of other lengths and of some with nulls are in the SQL's result."""
+    duckdb = pytest.importorskip("duckdb")
+    base = [v for _, v in vectors(3, 20, 6, 20)]
+    rows = [(2 * i, i % 3, v) for i, v in enumerate(base)] + [(100 + 2 * i, 0, base[i]) for i in range(6)] + [(200 + 2 * i, 0, base[7]) for i in range(5)]
+    rows += [(300, 0, base[0] + [0.01]), (302, 0, base[0] + [0.01]), (304, 0, base[1][:5]), (306, 0, [None] + base[2][1:]), (308, 0, None), (310, 0, []), (312, None, base[4]), (None, 0, base[5])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLE_SQL["near_duplicates_everywhere"]).fetchall())
+    assert sorted((r.doc_a, r.doc_b) for r in catalog.QUERIES["near_duplicates_everywhere"](spark, str(tmp_path)).collect()) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("centres", [None, 1, 7])
+def test_every_pair_of_large_classes(spark, centres):
+    """Two classes of copies that are near to each other, of more ids than they have rows, and smaller ones."""
+    one, other = vectors()[0][1], [x * 1.01 + 0.001 for x in vectors()[0][1]]
+    rows = vectors()[:120] + odd() + [(9000 - i, one) for i in range(200)] + [(9500 - 2 * i, other) for i in range(150)] + [(7000 + d, v) for d, v in vectors()[:40]]
+    fit = [(d, np.array(v)) for d, v in rows if v and not any(x is None or x != x for x in v) and any(v)]
+    ids, unit = np.array([d for d, _ in fit]), np.array([np.pad(v, (0, 13 - len(v))) / np.linalg.norm(v) for _, v in fit])
+    score = np.floor(unit @ unit.T * 1_000_000 + 0.5).astype(int)
+    i, j = np.nonzero((score >= 920_000) & (ids[:, None] < ids[None, :]))
+    got = C.near_pairs(frame(spark, rows), 0.92, centres, block=64, every=True).collect()
+    assert sorted((r.doc_a, r.doc_b) for r in got) == sorted(zip(ids[i].tolist(), ids[j].tolist(), strict=True)) and len(got) > 60_000
+    at = {d: n for n, d in enumerate(ids.tolist())}
+    assert all(r.score == score[at[r.doc_a], at[r.doc_b]] for r in got)
+
+
+def test_one_class_only(spark):
+    got = C.near_pairs(frame(spark, [(d, [1.0, 2.0]) for d in (5, 3, 9)]), 0.92, every=True).collect()
+    assert sorted((r.doc_a, r.doc_b, r.score) for r in got) == [(3, 5, 1_000_000), (3, 9, 1_000_000), (5, 9, 1_000_000)]
+
+
+def test_scores_that_are_rounded_up(spark, monkeypatch):
+    """0.91999955 is 920,000 millionths; the vectors lie in two cells, one on the border of both."""
+    turn, half = np.arccos(0.91999955), 0.5
+    monkeypatch.setattr(C, "fitted", lambda sample, n: np.array([[np.cos(half), -np.sin(half)], [np.cos(half), np.sin(half)]]))
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float(np.cos(turn)), float(np.sin(turn))])], "doc long, vector array<double>")
+    assert [(r.doc_a, r.doc_b, r.score) for r in C.near_pairs(df, 0.92, 2).collect()] == [(1, 2, 920_000)]
+
+
+def test_infinite_elements_are_left_out(spark):
+    """A vector without direction takes no pair of others with it."""
+    rows = vectors()[:200]
+    got = C.near_pairs(frame(spark, rows + [(9000, [float("inf")] * 12)]), 0.92, 5).collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == pairs(rows, 0.92)
